@@ -6,26 +6,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, sentencepiece_viterbi, simhash_bktree
+from quarry.llm import exact_dedup, license_scan, line_dedup, mixing, quality_rules, resharding, secret_scan, sentencepiece_viterbi, simhash_bktree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment of every document; the shards' files it touches are rewritten by resharding.rewrite_affected."""
+    return resharding.reshard(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_site_boilerplate(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash_bktree, op7_exact_dedup, op9_sentencepiece)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.kept_documents(docs, quality_rules.fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_secret_scan, op3_resharding, op4_simhash_bktree, op5_source_mixing, op6_line_dedup, op7_exact_dedup, op8_license_scan, op9_sentencepiece, op10_quality_rules)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
@@ -34,4 +63,5 @@ ORACLE_SQL: dict[str, str] = {
                    row_number() over (partition by text order by doc_id) place
             from documents where text is not null)
         where place > 1""",
+    "op6_line_dedup": line_dedup.SQL,
 }
