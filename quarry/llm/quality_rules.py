@@ -19,7 +19,7 @@ from quarry.llm.shared import fresh
 
 #: Labelled rows the list is fitted on at most, picked by a seeded hash of their id.
 MAX_TRAIN_ROWS = 20_000
-STATS = ("n_chars", "n_words", "word_chars", "symbol_ratio", "upper_ratio", "digit_ratio", "distinct_ratio", "stop_ratio", "line_repeat")
+STATS = ("n_chars", "n_words", "word_chars", "symbol_ratio", "upper_ratio", "digit_ratio", "distinct_ratio", "stop_ratio", "line_repeat", "repeat_ratio")
 
 
 def text_stats(text: Column) -> list[tuple[str, Column]]:
@@ -31,6 +31,7 @@ def text_stats(text: Column) -> list[tuple[str, Column]]:
         ("_lines", F.filter(F.split(t, "\n"), lambda w: w != "")),
         ("_symbols", F.regexp_count(t, F.lit(r"[#$%&*|<>{}=~^\\@_!]"))),
         ("_uppers", F.regexp_count(t, F.lit(r"\p{Lu}{2,}"))),
+        ("_repeats", F.regexp_count(t, F.lit(r"(?<!\S)(\S+)\s+\1(?!\S)"))),
         ("_digits", F.regexp_count(t, F.lit(r"[0-9]"))),
     ]
 
@@ -51,13 +52,14 @@ def with_stats(docs: DataFrame, text: str, prefix: str) -> DataFrame:
             prefix + "word_chars": chars / words,
             prefix + "symbol_ratio": c("_symbols") / words,
             prefix + "upper_ratio": c("_uppers") / words,
+            prefix + "repeat_ratio": c("_repeats") / words,
             prefix + "digit_ratio": c("_digits") / chars,
             prefix + "distinct_ratio": F.size(F.array_distinct(c("_words"))) / words,
-            prefix + "stop_ratio": F.size(F.array_intersect(c("_words"), F.array(*map(F.lit, STOP)))) / F.lit(float(len(STOP))),
+            prefix + "stop_ratio": F.size(F.filter(c("_words"), lambda w: w.isin(*STOP))) / words,
             prefix + "line_repeat": 1 - F.size(F.array_distinct(c("_lines"))) / F.greatest(F.size(c("_lines")), F.lit(1)),
         }
     )
-    return out.drop(*[prefix + n for n in ("_words", "_lines", "_symbols", "_uppers", "_digits")])
+    return out.drop(*[prefix + n for n in ("_words", "_lines", "_symbols", "_uppers", "_repeats", "_digits")])
 
 
 @dataclass(frozen=True)
@@ -125,19 +127,24 @@ def _prune(rule: list, x: pd.DataFrame, y: np.ndarray) -> Rule | None:
     return best
 
 
-def learn_decision_list(stats: pd.DataFrame, reject: np.ndarray, min_precision: float = 0.95, min_support: int = 5, max_rules: int = 12, max_conditions: int = 4, seed: int = 7) -> list[Rule]:
-    """Ordered rules that reject; rows that none covers are kept. No rules if nothing is precise enough, or without rows of both labels."""
+def learn_decision_list(stats: pd.DataFrame, reject: np.ndarray, min_precision: float = 0.97, min_support: int = 3, max_rules: int = 12, max_conditions: int = 4, attempts: int = 4, seed: int = 7) -> list[Rule]:
+    """Ordered rules that reject; rows that none covers are kept. No rules if nothing is precise enough, or without rows of both labels.
+
+    The rows are split anew for each rule; the list ends when attempts splits in a row give no rule that is precise enough.
+    """
     reject = np.asarray(reject, bool)
     rng = np.random.default_rng(seed)
-    left, rules = np.arange(len(stats)), []
-    while len(rules) < max_rules and reject[left].any():
+    left, rules, failed = np.arange(len(stats)), [], 0
+    while len(rules) < max_rules and failed < attempts and reject[left].any():
         own = rng.permutation(left)
         third = len(own) // 3
         grow, prune = own[third:], own[:third]
         conditions = _grow({n: stats[n].to_numpy(float)[grow] for n in STATS}, reject[grow], max_conditions)
         rule = _prune(conditions, stats.iloc[prune], reject[prune]) if conditions else None
         if rule is None or rule.support < min_support or rule.precision < min_precision:
-            break
+            failed += 1
+            continue
+        failed = 0
         rules.append(rule)
         left = left[~rule.covers(stats.iloc[left])]
     return rules

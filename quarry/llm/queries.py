@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, license_scan, line_dedup, mixing, quality_rules, resharding, secret_scan, sentencepiece_viterbi, simhash_bktree
+from quarry.llm import exact_dedup, license_scan, line_dedup, mixing, pii, quality_rules, resharding, secret_scan, sentencepiece_viterbi, simhash_bktree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assignment of every document; the shards' files it touches are rewritten by resharding.rewrite_affected."""
     return resharding.reshard(table(spark, sf_dir, "documents"))
@@ -53,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_resharding, op4_simhash_bktree, op5_source_mixing, op6_line_dedup, op7_exact_dedup, op8_license_scan, op9_sentencepiece, op10_quality_rules)
+    for f in (op1_secret_scan, op2_pii_redaction, op3_resharding, op4_simhash_bktree, op5_source_mixing, op6_line_dedup, op7_exact_dedup, op8_license_scan, op9_sentencepiece, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
