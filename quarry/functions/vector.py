@@ -143,13 +143,17 @@ def hadamard(n: int) -> np.ndarray:
 
 def walsh(v: Column, n: int = 64) -> Column:
     """The transform by butterflies: log2(n) steps of sums and differences, then the scale."""
+
+    def step(a: Column, h: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((F.floor(i / h) % 2) == 0, F.get(a, i) + F.get(a, i + h)).otherwise(F.get(a, i - h) - F.get(a, i)))
+
+    def held(out: Column, h: int) -> Column:
+        # an array of one holds the step before, which would be computed anew at each read
+        return F.flatten(F.transform(F.array(out), lambda a: step(a, h)))
+
     out, h = doubles(v), 1
     while h < n:
-        step, src = h, out
-        out = F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)),
-            lambda i, s=step, a=src: F.when((F.floor(i / s) % 2) == 0, F.get(a, i) + F.get(a, i + s)).otherwise(F.get(a, i - s) - F.get(a, i)),
-        )
+        out = held(out, h)
         h *= 2
     return F.transform(out, lambda x: x / float(np.sqrt(n)))
 

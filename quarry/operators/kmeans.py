@@ -196,4 +196,4 @@ def quality(df: DataFrame, centroids: np.ndarray, id_col: str = "id", vec: str =
     between = float((((np.asarray(centroids)[ids] - mean) ** 2).sum(axis=1) * counts.to_numpy()).sum())
     within = float(per["sq"].sum())
     ch = between / (k - 1) / (within / (n - k)) if k > 1 and n > k and within > 0 else 0.0
-    return df.sparkSession.createDataFrame([(round(silhouette, 6), round(float(np.mean(worst)), 6), round(ch, 6))], "silhouette double, davies_bouldin double, calinski_harabasz double")
+    return df.sparkSession.createDataFrame([(round(float(silhouette), 6), round(float(np.mean(worst)), 6), round(float(ch), 6))], "silhouette double, davies_bouldin double, calinski_harabasz double")

@@ -1,6 +1,696 @@
-"""Queries over whole tables, each beside the SQL it is held against."""
+"""Queries over whole tables, each beside the SQL it is held against.
+
+Approximate and learned operators have no SQL; tests hold them against exact search.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import text as text_functions
+from quarry.functions import vector
+from quarry.operators import bm25, cascade, filters, fusion, graph, ivf, kmeans, metrics, quantize
+from quarry.operators.filters import And, Nor, Or, Range, Term
+from quarry.operators.knn import distance_matrix, knn, merge_lists, range_search, rank, symmetric_distances
+from quarry.plans import manager
+from quarry.streaming import log
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as (id, vector, label)."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a query (qid, vector)."""
+    return base(spark, sf_dir).select(F.col("id").alias("qid"), "vector")
+
+
+def label_means(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """Ten centroids, the labels' means in order, rounded so that both engines have the same model."""
+    m = kmeans.mean_by_group(base(spark, sf_dir), "label").orderBy("label", "pos").toPandas()  # ten labels x dimensions
+    return np.round(m.pivot(index="label", columns="pos", values="mean").to_numpy(), 6)
+
+
+# SQL parts
+
+L2 = "list_sum(list_transform(list_zip({a}::double[], {b}::double[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+IP = "list_sum(list_transform(list_zip({a}::double[], {b}::double[]), lambda p: p[1] * p[2]))"
+NORM = "sqrt(list_sum(list_transform({a}::double[], lambda x: x * x)))"
+
+
+def l2(a: str, b: str) -> str:
+    return L2.format(a=a, b=b)
+
+
+def ip(a: str, b: str) -> str:
+    return IP.format(a=a, b=b)
+
+
+def cos(a: str, b: str) -> str:
+    return f"1 - {ip(a, b)} / ({NORM.format(a=a)} * {NORM.format(a=b)})"
+
+
+def top(source: str, k: int = 10, by: str = "score, id", columns: str = "qid, id, score, rank") -> str:
+    return f"select {columns} from (select *, row_number() over (partition by qid order by {by}) as rank from {source}) where rank <= {k}"
+
+
+def pairs(score: str, where: str = "true") -> str:
+    return f"(select q.vec_id qid, b.vec_id id, round({score}, 6) score from embeddings q, embeddings b where {where})"
+
+
+QB = ("q.embedding", "b.embedding")
+
+# exact search
+
+
+@query(top(pairs(l2(*QB))))
+def knn_l2(spark, sf_dir):
+    return knn(asked(spark, sf_dir), base(spark, sf_dir))
+
+
+@query(top(pairs(f"-{ip(*QB)}")))
+def knn_ip(spark, sf_dir):
+    return knn(asked(spark, sf_dir), base(spark, sf_dir), metric="ip")
+
+
+@query(top(pairs(cos(*QB))))
+def knn_cosine(spark, sf_dir):
+    return knn(asked(spark, sf_dir), base(spark, sf_dir), metric="cosine")
+
+
+@query(top(pairs(l2(*QB))))
+def knn_blocks(spark, sf_dir):
+    """Exact search in pairs of blocks, as for queries too large to send to every task."""
+    return knn(asked(spark, sf_dir), base(spark, sf_dir), limit=0)
+
+
+@query(top(pairs(l2(*QB), "b.label = 3")))
+def knn_filtered_term(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return knn(asked(spark, sf_dir), b, where=filters.compile_filter(Term("label", "3"), b))
+
+
+@query(top(pairs(l2(*QB), "(b.label = 1 or b.label between 4 and 6) and not (b.label = 5 or b.label = 2)")))
+def knn_filtered_and_or_not(spark, sf_dir):
+    b = base(spark, sf_dir)
+    expr = And((Or((Term("label", "1"), Range("label", 4, 6))), Nor((Term("label", "5"), Term("label", "2")))))
+    return knn(asked(spark, sf_dir), b, where=filters.compile_filter(filters.from_json(filters.to_json(expr)), b))
+
+
+@query(top(pairs(l2(*QB), "b.vec_id not in (select doc_id from labels where toxic = 1)")))
+def knn_tombstoned(spark, sf_dir):
+    dead = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return knn(asked(spark, sf_dir), base(spark, sf_dir), exclude=dead)
+
+
+@query(f"select * from {pairs(l2(*QB))} where score <= 1.2")
+def range_search_l2(spark, sf_dir):
+    return range_search(asked(spark, sf_dir), base(spark, sf_dir), 1.2)
+
+
+@query(f"select q.vec_id a_id, b.vec_id b_id, round({l2(*QB)}, 6) d from embeddings q, embeddings b")
+def distance_matrix_l2(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return distance_matrix(b, b)
+
+
+@query(f"select q.vec_id a_id, b.vec_id b_id, round({cos(*QB)}, 6) d from embeddings q, embeddings b where q.vec_id < b.vec_id")
+def pairwise_cosine(spark, sf_dir):
+    return symmetric_distances(base(spark, sf_dir), "cosine")
+
+
+@query(f"select vec_id id, round({NORM.format(a='embedding')}, 6) norm, round(list_sum(list_transform(embedding::double[], lambda x: x / {NORM.format(a='embedding')})), 6) total from embeddings")
+def normalize_vectors(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return b.select("id", F.round(vector.norm(F.col("vector")), 6).alias("norm"), F.round(F.aggregate(vector.normalize(F.col("vector")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(
+    "with h as (select i, list(case when bit_count(i & j) % 2 = 0 then 0.125 else -0.125 end order by j) row from range(64) a(i), range(64) b(j) group by i) "
+    f"select vec_id id, i::int pos, round({ip('embedding', 'row')}, 6) v from embeddings, h"
+)
+def walsh_transform(spark, sf_dir):
+    return base(spark, sf_dir).select("id", F.posexplode(vector.walsh(F.col("vector"))).alias("pos", "v")).select("id", "pos", F.round("v", 6).alias("v"))
+
+
+# filters
+
+PROPS = "json_extract_string(props, '$.k')"
+
+
+@query("select o_orderkey id from orders where o_orderstatus = 'F'")
+def filter_term(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    return df.where(filters.compile_filter(Term("o_orderstatus", "F"), df)).select(F.col("o_orderkey").alias("id"))
+
+
+@query("select p_partkey id from part where p_retailprice between 1200 and 1700.5 and p_size between 5 and 20")
+def filter_range(spark, sf_dir):
+    df = table(spark, sf_dir, "part")
+    return df.where(filters.compile_filter(And((Range("p_retailprice", 1200, 1700.5), Range("p_size", 5, 20))), df)).select(F.col("p_partkey").alias("id"))
+
+
+@query("select l_orderkey, l_linenumber from lineitem where not (coalesce(l_returnflag = 'N', false) or coalesce(l_quantity between 1 and 10, false))")
+def filter_nor(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return df.where(filters.compile_filter(Nor((Term("l_returnflag", "N"), Range("l_quantity", 1, 10))), df)).select("l_orderkey", "l_linenumber")
+
+
+@query("select c_custkey id from customer")
+def filter_empty_and(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    return df.where(filters.compile_filter(And((And(), Nor())), df)).select(F.col("c_custkey").alias("id"))
+
+
+@query("select event_id id from events where not coalesce(json_extract_string(props, '$.missing') = 'x', false) and not coalesce(event_type = 'click', false)")
+def filter_missing_field(spark, sf_dir):
+    df = table(spark, sf_dir, "events").withColumn("tags", F.from_json("props", "map<string,string>"))
+    own = df.select("event_id", "event_type", "tags")
+    return own.where(filters.compile_filter(Nor((Term("missing", "x"), Term("event_type", "click"))), own, "tags")).select(F.col("event_id").alias("id"))
+
+
+@query("select o_orderkey from orders where o_orderpriority = '1-URGENT' order by o_orderkey limit 100")
+def filter_limit(spark, sf_dir):
+    """The limit is the operator's: the first ids in ascending order."""
+    return filters.search(table(spark, sf_dir, "orders"), Term("o_orderpriority", "1-URGENT"), "o_orderkey", 100)
+
+
+@query("select 'p_brand' field, p_brand as value, count(*) n from part group by 2 union all select 'p_type', p_type, count(*) from part group by 2 union all select 'p_size', p_size::varchar, count(*) from part group by 2")
+def value_counts(spark, sf_dir):
+    return filters.value_counts(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
+
+
+@query("with b as (select p_brand, count(*) c from part group by 1), n as (select count(*) n from part) select p_brand, round(c / n + 0.2 - c / n * 0.2, 6) estimate from b, n")
+def selectivity_estimate(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    counts = {("p_brand", r["value"]): r["n"] for r in filters.value_counts(part, ["p_brand"]).collect()}  # one row for each brand
+    n = part.count()
+    rows = [(b, round(filters.selectivity(Or((Term("p_brand", b), Range("p_size", 1, 21))), counts, n), 6)) for _, b in sorted(counts)]
+    return spark.createDataFrame(rows, "p_brand string, estimate double")
+
+
+@query("select (select count(distinct p_partkey) from part) documents, 'p_brand' field, count(distinct p_brand) distinct_values from part union all select (select count(distinct p_partkey) from part), 'p_size', count(distinct p_size) from part")
+def metadata_stats(spark, sf_dir):
+    return filters.store_stats(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey").select("documents", "field", "distinct_values")
+
+
+# sets of ids
+
+
+def _ids(spark, sf_dir):
+    d, l = table(spark, sf_dir, "documents").where("lang = 'en'"), table(spark, sf_dir, "labels").where("quality = 1")
+    return d.select(F.col("doc_id").alias("id")), l.select(F.col("doc_id").alias("id"))
+
+
+SETS = "(select doc_id id from documents where lang = 'en') {} (select doc_id id from labels where quality = 1)"
+
+
+@query(SETS.format("union"))
+def id_union(spark, sf_dir):
+    a, b = _ids(spark, sf_dir)
+    return a.union(b).distinct()
+
+
+@query(SETS.format("intersect"))
+def id_intersect(spark, sf_dir):
+    a, b = _ids(spark, sf_dir)
+    return a.intersect(b)
+
+
+@query(SETS.format("except"))
+def id_except(spark, sf_dir):
+    a, b = _ids(spark, sf_dir)
+    return a.subtract(b)
+
+
+@query(f"with a as (select * from ({SETS.format('union')})), b as (select * from ({SETS.format('intersect')})) select * from a except select * from b")
+def id_xor(spark, sf_dir):
+    a, b = _ids(spark, sf_dir)
+    return a.join(b, "id", "left_anti").union(b.join(a, "id", "left_anti"))
+
+
+@query("select doc_id, lang from documents where doc_id in (select doc_id from labels where toxic = 1)")
+def semi_join(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
+def anti_join(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+# text
+
+DOC = f"doc as (select doc_id, {text_functions.tokens_sql('text')} t from documents)"
+ITEM = f"item as (select item_id, {text_functions.tokens_sql('text')} t from benchmark)"
+TF = "tf as (select doc_id, term, count(*) tf from (select doc_id, unnest(t) term from doc) group by all)"
+DL = "dl as (select doc_id, len(t) len from doc), st as (select count(*) n, avg(len(t)) av from doc)"
+IDF = "idf as (select term, count(*) df, ln(1 + ((select n from st) - count(*) + 0.5) / (count(*) + 0.5)) idf from tf group by term)"
+QT = "qt as (select item_id qid, term, count(*) qtf from (select item_id, unnest(t) term from item) group by all)"
+SPARSE = f"{DOC}, {ITEM}, {TF}, {DL}, {IDF}, {QT}"
+
+
+def bm25_sql(where: str = "true") -> str:
+    return f"(select qid, doc_id id, round(sum(idf * qtf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / av))), 6) score from qt join tf using (term) join idf using (term) join dl using (doc_id), st where {where} group by qid, doc_id)"
+
+
+def items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def sparse_index(spark, sf_dir) -> bm25.Bm25Index:
+    return bm25.build(table(spark, sf_dir, "documents"))
+
+
+@query(f"with {DOC} select doc_id, len(t) n, coalesce(array_to_string(t, ' '), '') tokens from doc")
+def tokenize(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", text_functions.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("bigint").alias("n"), F.concat_ws(" ", "t").alias("tokens"))
+
+
+@query(f"with {DOC}, {TF}, {DL}, {IDF} select term, df, round(idf, 6) idf from idf")
+def term_stats(spark, sf_dir):
+    return sparse_index(spark, sf_dir).vocabulary().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"with {DOC}, {TF} select count(*) documents, sum(len(t))::bigint tokens, round(avg(len(t)), 6) avg_length, (select count(distinct term) from tf) vocabulary from doc")
+def corpus_stats(spark, sf_dir):
+    index = sparse_index(spark, sf_dir)
+    v = index.postings.agg(F.count_distinct("term").alias("vocabulary"))
+    return index.stats().crossJoin(v).select(F.col("n").alias("documents"), "tokens", F.round("avg", 6).alias("avg_length"), "vocabulary")
+
+
+@query(f"with {SPARSE} {top(bm25_sql(), 10, 'score desc, id')}")
+def bm25_search(spark, sf_dir):
+    return bm25.search(sparse_index(spark, sf_dir), items(spark, sf_dir))
+
+
+@query(f"with {SPARSE} " + top(bm25_sql("doc_id in (select doc_id from labels where quality = 1)"), 10, "score desc, id"))
+def bm25_filtered(spark, sf_dir):
+    return bm25.search(sparse_index(spark, sf_dir), items(spark, sf_dir), allowed=table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+@query(f"with {SPARSE} select qid, term, round(qtf * idf, 6) weight from qt join idf using (term)")
+def tfidf_encode(spark, sf_dir):
+    return bm25.encode(sparse_index(spark, sf_dir), items(spark, sf_dir))
+
+
+@query(f"with {SPARSE} select doc_id, term, round(tf * idf, 6) weight from tf join idf using (term)")
+def doc_vector(spark, sf_dir):
+    return bm25.document_vectors(sparse_index(spark, sf_dir))
+
+
+@query(f"with {SPARSE} select qid, doc_id, round(sum(round(qtf * idf, 6) * round(tf * idf, 6)), 6) dot from qt join idf using (term) join tf using (term) group by all")
+def sparse_dot(spark, sf_dir):
+    index = sparse_index(spark, sf_dir)
+    return bm25.sparse_dot(bm25.encode(index, items(spark, sf_dir)), bm25.document_vectors(index))
+
+
+# fusion: benchmark items as queries, their embedding that of the same number
+
+DENSE = f"dense as ({top(f'(select item_id qid, b.vec_id id, -round({l2(*QB)}, 6) score from benchmark join embeddings q on item_id = q.vec_id, embeddings b)', 50, 'score desc, id')})"
+LISTS = f"{SPARSE}, {DENSE}, sparse as ({top(bm25_sql(), 50, 'score desc, id')})"
+SCALED = "scaled as (select qid, id, side, case when hi > lo then (score - lo) / (hi - lo) else 1 end score from (select *, min(score) over w lo, max(score) over w hi from (select qid, id, 'd' side, score from dense union all select qid, id, 's', score from sparse) window w as (partition by qid, side)))"
+SIDES = "f as (select qid, id, coalesce(max(score) filter (side = 'd'), 0) ds, coalesce(max(score) filter (side = 's'), 0) ss from scaled group by qid, id)"
+
+
+def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    q = items(spark, sf_dir).join(asked(spark, sf_dir), "qid")
+    dense = knn(q, base(spark, sf_dir), 50).withColumn("score", -F.col("score"))
+    return dense, bm25.search(sparse_index(spark, sf_dir), items(spark, sf_dir), 50)
+
+
+@query(f"with {LISTS}, f as (select qid, id, round(coalesce(1 / (60.0::double + d.rank), 0) + coalesce(1 / (60.0::double + s.rank), 0), 6) score from dense d full join sparse s using (qid, id)) {top('f', 10, 'score desc, id')}")
+def rrf_fusion(spark, sf_dir):
+    return fusion.rrf(*_lists(spark, sf_dir))
+
+
+@query(f"with {LISTS}, {SCALED}, {SIDES}, g as (select qid, id, round(ds * 0.8::double + ss * 0.2::double, 6) score from f) {top('g', 10, 'score desc, id')}")
+def weighted_fusion(spark, sf_dir):
+    return fusion.weighted(*_lists(spark, sf_dir), 0.8, 0.2)
+
+
+@query(f"with {LISTS}, {SCALED}, {SIDES}, g as (select qid, id, round(greatest(ds, ss), 6) score from f) {top('g', 10, 'score desc, id')}")
+def max_fusion(spark, sf_dir):
+    return fusion.max_score(*_lists(spark, sf_dir))
+
+
+@query(f"with {LISTS}, m as (select qid, id, max(score) score from (select qid, id, score from dense union all select qid, id, score from sparse) group by all) {top('m', 20, 'score desc, id')}")
+def merged_lists(spark, sf_dir):
+    return merge_lists(list(_lists(spark, sf_dir)), 20)
+
+
+@query(f"with {LISTS} select qid, id, round(case when hi = lo then 0.5 else (score - lo) / (hi - lo) end, 6) scaled, round(exp((score - hi) / 2.0) / sum(exp((score - hi) / 2.0)) over (partition by qid), 6) p from (select *, min(score) over (partition by qid) lo, max(score) over (partition by qid) hi from sparse)")
+def normalized_scores(spark, sf_dir):
+    w = Window.partitionBy("qid")
+    return _lists(spark, sf_dir)[1].select("qid", "id", F.round(vector.min_max(F.col("score"), w), 6).alias("scaled"), F.round(vector.softmax(F.col("score"), w, 2.0), 6).alias("p"))
+
+
+@query(f"with {LISTS}, f as (select qid, id, round(coalesce(1 / (60.0::double + d.rank), 0) + coalesce(1 / (60.0::double + s.rank), 0), 6) score from (select * from ({top(f'(select item_id qid, b.vec_id id, -round({l2(*QB)}, 6) score from benchmark join embeddings q on item_id = q.vec_id, embeddings b)', 100, 'score desc, id')})) d full join (select * from ({top(bm25_sql(), 100, 'score desc, id')})) s using (qid, id)) {top('f', 10, 'score desc, id')}")
+def hybrid_search(spark, sf_dir):
+    q = items(spark, sf_dir).join(asked(spark, sf_dir), "qid")
+    return manager.hybrid_search(q, sparse_index(spark, sf_dir), base(spark, sf_dir))
+
+
+@query(
+    f"with {SPARSE}, s as (select qid, doc_id id, max(tf * idf) dh, min(tf * idf) dl, max(qtf * idf) sh, min(qtf * idf) sl from qt join tf using (term) join idf using (term) group by all), "
+    f"g as (select qid, id, round(tanh(greatest(0, dh * sh, dl * sl, dh * sl, dl * sh) / 100.0), 6) score from s) {top('g', 10, 'score desc, id')}"
+)
+def late_interaction(spark, sf_dir):
+    index = sparse_index(spark, sf_dir)
+    terms = bm25.query_terms(items(spark, sf_dir)).join(index.vocabulary(), "term").join(index.postings, "term")
+    side = lambda n, c: terms.select("qid", F.col("doc_id").alias("id"), F.lit(n).alias("side"), (F.col(c) * F.col("idf")).alias("score"))
+    return fusion.late_interaction(side("dense", "tf").unionByName(side("sparse", "qtf")), temperature=100.0, top_k=10)
+
+
+@query()
+def adaptive_fusion(spark, sf_dir):
+    """Relevant to a benchmark item are documents with its embedding's label."""
+    b = base(spark, sf_dir)
+    rel = items(spark, sf_dir).join(b.select(F.col("id").alias("qid"), "label"), "qid").join(b.select("id", "label"), "label").select("qid", "id")
+    method, weight, k = fusion.fit_adaptive(*_lists(spark, sf_dir), rel)
+    return spark.createDataFrame([(method, weight, k)], "method string, dense_weight double, k double")
+
+
+# quality of a search: the first 16 dimensions against all
+
+PREFIX = f"hits as ({top(pairs(l2('q.embedding[1:16]', 'b.embedding[1:16]')))}), truth as ({top(pairs(l2(*QB)))})"
+REL = "rel as (select q.vec_id qid, b.vec_id id from embeddings q join embeddings b using (label))"
+
+
+def _hits(spark, sf_dir):
+    short = lambda df: df.withColumn("vector", F.slice("vector", 1, 16))
+    q, b = asked(spark, sf_dir), base(spark, sf_dir)
+    return knn(short(q), short(b)), knn(q, b)
+
+
+def _relevant(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return b.select(F.col("id").alias("qid"), "label").join(b.select("id", "label"), "label").select("qid", "id")
+
+
+@query(f"with {PREFIX} select round((select count(*) from hits join truth using (qid, id)) / (count(distinct qid) * 10), 6) recall from truth")
+def recall_at_k(spark, sf_dir):
+    return metrics.recall_at_k(*_hits(spark, sf_dir), 10)
+
+
+@query(f"with {PREFIX} select round(avg(coalesce(1 / h.rank, 0)), 6) mrr from truth t left join hits h using (qid, id) where t.rank = 1")
+def mrr(spark, sf_dir):
+    return metrics.mean_reciprocal_rank(*_hits(spark, sf_dir), 10)
+
+
+@query(f"with {PREFIX}, {REL} select round((select count(*) from hits join rel using (qid, id)) / (count(distinct qid) * 10), 6) as precision from hits")
+def precision_at_k(spark, sf_dir):
+    return metrics.precision_at_k(_hits(spark, sf_dir)[0], _relevant(spark, sf_dir), 10)
+
+
+@query(
+    f"with {PREFIX}, {REL}, n as (select qid, count(*) n from rel group by qid), d as (select qid, sum(1 / log2(rank + 1)) dcg from hits join rel using (qid, id) group by qid) "
+    "select qid, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) ndcg from n left join d using (qid)"
+)
+def ndcg_at_k(spark, sf_dir):
+    return metrics.ndcg_at_k(_hits(spark, sf_dir)[0], _relevant(spark, sf_dir), 10)
+
+
+# clustering
+
+MEANS = "means as (select label, pos, round(avg(v), 6) v from (select label, unnest(embedding)::double v, generate_subscripts(embedding, 1) pos from embeddings) group by all), cent as (select label cid, list(v order by pos) c from means group by label)"
+NEAR = f"near as (select vec_id id, cid, {l2('embedding', 'c')} dist, embedding from embeddings, cent qualify row_number() over (partition by vec_id order by {l2('embedding', 'c')}, cid) = 1)"
+
+
+@query(f"with {MEANS}, {NEAR} select id, cid, round(dist, 6) dist from near")
+def kmeans_assign(spark, sf_dir):
+    out = kmeans.assign(base(spark, sf_dir), label_means(spark, sf_dir))
+    return out.select("id", "cid", F.round("dist", 6).alias("dist"))
+
+
+UPDATED = "select cid, pos::int pos, round(avg(v), 6) v from (select cid, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 pos from near) group by all"
+
+
+@query(f"with {MEANS}, {NEAR} {UPDATED}")
+def kmeans_update(spark, sf_dir):
+    b = base(spark, sf_dir)
+    near = kmeans.assign(b, label_means(spark, sf_dir)).join(b, "id")
+    return kmeans.mean_by_group(near, "cid").select("cid", "pos", F.round("mean", 6).alias("v"))
+
+
+@query(f"with {MEANS}, {NEAR} select cid, count(*) n, round(sum(dist), 6) inertia, round(max(dist), 6) farthest from near group by cid")
+def cluster_sizes(spark, sf_dir):
+    a = kmeans.assign(base(spark, sf_dir), label_means(spark, sf_dir))
+    return a.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist"), 6).alias("inertia"), F.round(F.max("dist"), 6).alias("farthest"))
+
+
+@query(
+    f"with {MEANS}, alld as (select vec_id id, cid, {l2('embedding', 'c')} d from embeddings, cent), "
+    "o as (select id, arg_min(cid, d) cid, min(d) own, min(d, 2)[2] other from alld group by id), "
+    "pc as (select cid, count(*) n, sum(own) sq, avg(sqrt(own)) spread, avg(sqrt(other)) other from o group by cid), "
+    "sil as (select sum((other - sqrt(sq / n)) / greatest(other, sqrt(sq / n)) * n) / sum(n) s from pc), "
+    f"db as (select avg(w) d from (select a.cid, max((a.spread + b.spread) / sqrt({l2('ca.c', 'cb.c')})) w from pc a join cent ca using (cid), pc b join cent cb using (cid) where a.cid <> b.cid group by a.cid)), "
+    "mean as (select pos, sum(v * n) / sum(n) m from (select cid, unnest(c) v, generate_subscripts(c, 1) pos from cent) join pc using (cid) group by pos), "
+    "btw as (select sum(n * (v - m) * (v - m)) b from (select cid, unnest(c) v, generate_subscripts(c, 1) pos from cent) join pc using (cid) join mean using (pos)) "
+    "select round(s, 6) silhouette, round(d, 6) davies_bouldin, round(b / ((select count(*) from cent) - 1) / ((select sum(sq) from pc) / ((select sum(n) from pc) - (select count(*) from cent))), 6) calinski_harabasz from sil, db, btw"
+)
+def cluster_quality(spark, sf_dir):
+    return kmeans.quality(base(spark, sf_dir), label_means(spark, sf_dir))
+
+
+@query()
+def kmeans_cluster(spark, sf_dir):
+    """Ten clusters, seeded and run to the end: (cid, n, inertia)."""
+    b = base(spark, sf_dir)
+    a = kmeans.assign(b, kmeans.cluster(b, 10).centroids)
+    return a.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("dist"), 6).alias("inertia"))
+
+
+# compression: codebooks are the labels' means, cut into eight parts
+
+BOOK = f"{MEANS}, book as (select cid code, s, c[s * 8 + 1 : s * 8 + 8] part from cent, range(8) r(s))"
+CODES = f"codes as (select vec_id id, s, arg_min(code, struct_pack(d := {l2('embedding[s * 8 + 1 : s * 8 + 8]', 'part')}, c := code)) code, min({l2('embedding[s * 8 + 1 : s * 8 + 8]', 'part')}) e from embeddings, book group by vec_id, s)"
+ADC = f"lut as (select vec_id qid, s, code, {l2('embedding[s * 8 + 1 : s * 8 + 8]', 'part')} d from embeddings, book), adc as (select qid, id, round(sum(d), 6) score from codes join lut using (s, code) group by all)"
+
+
+def _pq(spark, sf_dir) -> quantize.ProductQuantizer:
+    return quantize.ProductQuantizer(label_means(spark, sf_dir).reshape(10, 8, 8).transpose(1, 0, 2))
+
+
+@query(f"with {BOOK}, {CODES} select id, s::int s, code from codes")
+def pq_encode(spark, sf_dir):
+    return _pq(spark, sf_dir).encode(base(spark, sf_dir)).select("id", F.posexplode("codes").alias("s", "code")).select("id", "s", F.col("code").cast("int").alias("code"))
+
+
+@query(f"with {BOOK}, {CODES}, {ADC} {top('adc')}")
+def pq_adc_topk(spark, sf_dir):
+    q = _pq(spark, sf_dir)
+    return q.search(asked(spark, sf_dir), q.encode(base(spark, sf_dir)))
+
+
+@query(f"with {BOOK}, {CODES} select round(sum(e) / count(distinct id), 6) mse from codes")
+def pq_error(spark, sf_dir):
+    return _pq(spark, sf_dir).error(base(spark, sf_dir))
+
+
+@query(f"with {BOOK}, {CODES}, {ADC}, pool as ({top('adc', 50)}), r as (select qid, id, round({l2(*QB)}, 6) score from pool join embeddings q on q.vec_id = qid join embeddings b on b.vec_id = id) {top('r')}")
+def ivf_rerank(spark, sf_dir):
+    q = _pq(spark, sf_dir)
+    return ivf.rerank(q.search(asked(spark, sf_dir), q.encode(base(spark, sf_dir)), 50), asked(spark, sf_dir), base(spark, sf_dir), 10)
+
+
+@query(f"with {MEANS}, d as (select vec_id qid, cid, {l2('embedding', 'c')} dist from embeddings, cent) select qid, cid as cell, round(dist, 6) dist, rank from (select *, row_number() over (partition by qid order by round(dist, 6), cid) as rank from d) where rank <= 3")
+def ivf_probe(spark, sf_dir):
+    index = ivf.IvfPq(label_means(spark, sf_dir), _pq(spark, sf_dir))
+    return index.probe(asked(spark, sf_dir), 3).select("qid", "cell", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query(
+    f"with {MEANS}, {NEAR}, d as (select vec_id qid, cid, {l2('embedding', 'c')} dist from embeddings, cent), probe as (select * from (select *, row_number() over (partition by qid order by round(dist, 6), cid) as rank from d) where rank <= 3), "
+    f"h as (select qid, id, round({l2('q.embedding', 'near.embedding')}, 6) score from probe join near using (cid) join embeddings q on q.vec_id = qid) {top('h')}"
+)
+def ivf_flat_search(spark, sf_dir):
+    """Probed cells, true distances."""
+    b, c = base(spark, sf_dir), label_means(spark, sf_dir)
+    probes = ivf.IvfPq(c, _pq(spark, sf_dir)).probe(asked(spark, sf_dir), 3).select("qid", F.col("cell").alias("cid"))
+    return ivf.rerank(probes.join(kmeans.assign(b, c).select("id", "cid"), "cid"), asked(spark, sf_dir), b, 10)
+
+
+@query()
+def ivf_pq_search(spark, sf_dir):
+    b = base(spark, sf_dir)
+    index = ivf.train(b, 32, 8, 6).add(b)
+    return index.search(asked(spark, sf_dir), 10, 16, b, ivf.rerank_pool(10, 16))
+
+
+@query()
+def hnsw_search(spark, sf_dir):
+    return graph.build(base(spark, sf_dir), "hnsw").search(asked(spark, sf_dir), 10, 100)
+
+
+@query()
+def vamana_search(spark, sf_dir):
+    return graph.build(base(spark, sf_dir), "vamana", degree=32, beam=64).search(asked(spark, sf_dir), 10, 64)
+
+
+@query()
+def cascade_search(spark, sf_dir):
+    return cascade.build(base(spark, sf_dir), 32, 4).search(asked(spark, sf_dir), 10)
+
+
+@query()
+def capq_search(spark, sf_dir):
+    b = base(spark, sf_dir)
+    model = quantize.train_capq(b)
+    return model.search(asked(spark, sf_dir), model.encode(b), 10, 400, 100)
+
+
+@query()
+def opq_error(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return quantize.train_opq(b, 8, 5, 5).error(b)
+
+
+LONG = "long as (select vec_id id, unnest(embedding)::double v, generate_subscripts(embedding, 1) - 1 pos from embeddings), med as (select pos, v t from long qualify row_number() over (partition by pos order by v) = floor((count(*) over (partition by pos)) / 2) + 1)"
+BITS = f"{LONG}, code as (select id, bit_or(case when v > t then (case when pos = 63 then (-9223372036854775808)::bigint else 1::bigint << pos end) else 0 end) code from long join med using (pos) group by id)"
+
+
+@query(f"with {BITS} select id, code from code")
+def binary_encode(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return b.select("id", quantize.train_binary(b).encode(F.col("vector"))[0].alias("code"))
+
+
+@query(f"with {BITS} " + top("(select a.id qid, b.id id, bit_count(xor(a.code, b.code))::double score from code a, code b)"))
+def hamming_topk(spark, sf_dir):
+    b = base(spark, sf_dir)
+    codes = b.select("id", quantize.train_binary(b).encode(F.col("vector")).alias("code"))
+    return quantize.hamming_search(codes.select(F.col("id").alias("qid"), "code"), codes)
+
+
+@query(
+    f"with {LONG}, placed as (select *, row_number() over (partition by pos order by v) - 1 i, count(*) over (partition by pos) n from long), "
+    "q as (select pos, max(v) filter (i = floor(0.01::double * (n - 1))) lo, max(v) filter (i = floor(0.99::double * (n - 1))) hi from placed group by pos) "
+    "select id, pos::int pos, greatest(0, least(255, round((v - lo) / (greatest(hi - lo, 1e-12) / 255))))::int code from long join q using (pos)"
+)
+def scalar8_encode(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return b.select("id", F.posexplode(quantize.train_scalar(b).encode(F.col("vector"))).alias("pos", "code"))
+
+
+@query(f"select vec_id id, pos::int pos, round(v / {NORM.format(a='embedding[1:16]')}, 6) v from (select vec_id, embedding, unnest(embedding[1:16])::double v, generate_subscripts(embedding[1:16], 1) - 1 pos from embeddings)")
+def matryoshka_truncate_16(spark, sf_dir):
+    return base(spark, sf_dir).select("id", F.posexplode(quantize.truncate(F.col("vector"), 16)).alias("pos", "v")).select("id", "pos", F.round("v", 6).alias("v"))
+
+
+@query("with v as (select pos, var_pop(x) s from (select unnest(embedding)::double x, generate_subscripts(embedding, 1) pos from embeddings) group by pos) select d::int dim, round(sum(s) filter (pos <= d) / sum(s), 6) share from v, (values (8), (16), (32), (64)) t(d) group by d")
+def matryoshka_variance(spark, sf_dir):
+    return quantize.prefix_variance(base(spark, sf_dir), (8, 16, 32, 64))
+
+
+@query(
+    f"with a as ({top(pairs(cos('q.embedding[1:8]', 'b.embedding[1:8]')), 100)}), "
+    f"b as ({top('(select qid, id, round(' + cos('q.embedding[1:16]', 'b.embedding[1:16]') + ', 6) score from a join embeddings q on q.vec_id = qid join embeddings b on b.vec_id = id)', 100)}), "
+    f"c as (select qid, id, round({cos(*QB)}, 6) score from b b_ join embeddings q on q.vec_id = qid join embeddings b on b.vec_id = id) {top('c')}"
+)
+def matryoshka_progressive(spark, sf_dir):
+    return quantize.progressive_search(asked(spark, sf_dir), base(spark, sf_dir), (8, 16))
+
+
+@query()
+def isotonic_calibration(spark, sf_dir):
+    """Text length against the quality label: the steps (breaks, values) of the fit."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    points = rows.groupBy(F.floor(F.log2(F.col("n_chars") + 1.0) * 4).alias("x")).agg(F.avg("quality").alias("y")).orderBy("x").toPandas()  # a row for each quarter of a power of two
+    breaks, values = quantize.fit_isotonic(points["x"].to_numpy(float), points["y"].to_numpy(float))
+    return spark.createDataFrame(list(zip(breaks.tolist(), values.round(6).tolist())), "x double, y double")
+
+
+# the events as a log: lsn the event, id the user, errors deletes
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", log.DELETE).otherwise(log.UPSERT)
+    return e.select(F.col("event_id").alias("lsn"), F.col("user_id").alias("id"), op.alias("op"), "event_type", "value")
+
+
+LATEST = "select user_id id, arg_max(event_id, event_id) lsn, arg_max(event_type, event_id) event_type, arg_max(value, event_id) as value from events {} group by 1 having arg_max(event_type, event_id) <> 'error'"
+
+
+@query(LATEST.format(""))
+def log_latest_state(spark, sf_dir):
+    return log.latest_state(_log(spark, sf_dir)).select("id", "lsn", "event_type", "value")
+
+
+@query(LATEST.format("where event_id <= 5000"))
+def as_of_state(spark, sf_dir):
+    return log.latest_state(_log(spark, sf_dir), upto=5000).select("id", "lsn", "event_type", "value")
+
+
+@query("select event_type as type, count(*) n from events group by 1")
+def log_type_hist(spark, sf_dir):
+    return log.type_histogram(table(spark, sf_dir, "events").select(F.col("event_type").alias("type")))
+
+
+@query("select count(*) violations from (select event_id, lag(event_id) over (partition by event_type order by ts, value) p from events) where event_id <= p")
+def log_lsn_violations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("lsn"), F.col("event_type").alias("file"), F.struct("ts", "value").alias("place"))
+    return log.violations(e)
+
+
+@query("select event_id lsn, bytes from (select event_id, strlen(props) bytes, count(*) over w n, sum(strlen(props)) over w b from events where event_id > 100 window w as (order by event_id)) where n <= 4000 and b <= 200000")
+def log_limits(spark, sf_dir):
+    """Delivery limits are the operator's."""
+    frames = table(spark, sf_dir, "events").select(F.col("event_id").alias("lsn"), F.octet_length("props").alias("bytes"))
+    return log.deliver(frames, 100, max_frames=4000, max_bytes=200_000)
+
+
+MANIFEST = "m as (select 'wal-' || lpad((event_id // 1000 + 1)::varchar, 8, '0') || '.log' file, event_id // 1000 + 1 seq, min(event_id) first_lsn, max(event_id) end_lsn, count(*) frames, sum(strlen(props))::bigint bytes from events where event_type <> 'click' group by all)"
+
+
+def _manifest(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_type <> 'click'").withColumn("seq", F.floor(F.col("event_id") / 1000) + 1)
+    named = e.withColumn("file", F.concat(F.lit("wal-"), F.lpad(F.col("seq").cast("string"), 8, "0"), F.lit(".log")))
+    return named.groupBy("file", "seq").agg(F.min("event_id").alias("first_lsn"), F.max("event_id").alias("end_lsn"), F.count(F.lit(1)).alias("frames"), F.sum(F.octet_length("props")).alias("bytes"))
+
+
+@query(f"with {MANIFEST} select file, 'LsnGap' issue from (select file, first_lsn, lag(end_lsn) over (order by seq) p from m) where first_lsn > p + 1")
+def manifest_gaps(spark, sf_dir):
+    return log.manifest_issues(_manifest(spark, sf_dir))
+
+
+@query(f"with {MANIFEST} select file from (select file, row_number() over (order by end_lsn desc, file desc) n from m) where n > 3")
+def log_retention_last_n(spark, sf_dir):
+    return log.Retention(_manifest(spark, sf_dir)).beyond_last(3)
+
+
+@query(f"with {MANIFEST} select file from (select file, n, sum(bytes) over (order by n) b from (select *, row_number() over (order by end_lsn desc, file desc) n from m)) where b > 100000 and n > 1")
+def log_retention_bytes(spark, sf_dir):
+    return log.Retention(_manifest(spark, sf_dir)).over_bytes(100_000)
+
+
+@query("select date_trunc('hour', ts) \"start\", event_type, count(*) n, round(sum(value), 4) total from events group by all")
+def windowed_counts(spark, sf_dir):
+    return log.windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("with e as (select ntile(1) over () g, value v from events) select round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.95), 6) p95, round(quantile_cont(v, 0.99), 6) p99, round(avg(v), 6) mean, round(stddev_samp(v), 6) deviation from e")
+def latency_percentiles(spark, sf_dir):
+    return metrics.latency(table(spark, sf_dir, "events"), "value")
