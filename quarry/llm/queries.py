@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import exact_dedup, license_scan, line_dedup, mixing, pii, quality_rules, resharding, secret_scan, sentencepiece_viterbi, simhash_bktree
+from quarry.llm.shared import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,8 @@ def op2_pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The assignment of every document; the shards' files it touches are rewritten by resharding.rewrite_affected."""
-    return resharding.reshard(table(spark, sf_dir, "documents"))
+    """The layout after a quarter more shards of equal capacity took the sources' place, its touched shards rewritten in the shared folder."""
+    return resharding.resharded(table(spark, sf_dir, "documents"), scratch(spark, "reshard"))
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,4 +176,18 @@ def rewrite_affected(docs: DataFrame, path: str, capacities: dict[str, int] | No
     out = _tagged(part, id_col, text, shard, old, cell, size).join(_sized(table, len(plan)), [old, cell]).select(*docs.columns, new)
     # one task for each shard and slice of it: a large shard is spread over several files
     out.repartition(new, F.pmod(F.xxhash64(id_col), F.lit(8))).write.partitionBy(new).parquet(path)
-    return docs.sparkSession.read.option("basePath", path).schema(out.schema).parquet(path), sorted({a for a, *_ in plan} - set(touched))
+    # a partition column's empty string is read back as null
+    back = docs.sparkSession.read.option("basePath", path).schema(out.schema).parquet(path) if touched else out
+    return back.withColumn(new, F.coalesce(new, F.lit(""))), sorted({a for a, *_ in plan} - set(touched))
+
+
+def resharded(docs: DataFrame, path: str, capacities: dict[str, int] | None = None, id_col: str = "doc_id", text: str = "text", shard: str = "source", blocks: int = BLOCKS) -> DataFrame:
+    """Rewrite what the plan touches under path, then list the new layout: (doc_id, old_shard, new_shard, rewritten, n_bytes) of every row.
+
+    Rows of touched shards are read from the rewritten files, the others from where they stay. Nulls and empty tables as in :func:`reshard`.
+    """
+    files, rest = rewrite_affected(docs, path, capacities, id_col, text, shard, blocks)
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes")
+    new = files.select(F.col(id_col).alias("doc_id"), _shard(F.col(shard)).alias("old_shard"), F.col(files.columns[-1]).alias("new_shard"), F.lit(True).alias("rewritten"), size)
+    still = docs.where(_shard(F.col(shard)).isin(rest)) if rest else docs.limit(0)
+    return new.unionByName(still.select(F.col(id_col).alias("doc_id"), _shard(F.col(shard)).alias("old_shard"), _shard(F.col(shard)).alias("new_shard"), F.lit(False).alias("rewritten"), size))
