@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from quarry.errors import EngineError
 from quarry.operators.knn import SCALE, rank
 
-OVER = Window.partitionBy("qid")
-
-
 def both(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """(qid, id, dense_score, dense_rank, sparse_score, sparse_rank): full outer join, null where absent."""
     side = lambda df, n: df.select("qid", "id", F.col("score").alias(f"{n}_score"), F.col("rank").alias(f"{n}_rank"))
@@ -30,7 +27,8 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: float = 60.0, top_k: int | None
 
 def scaled(df: DataFrame) -> DataFrame:
     """Scores from 0 to 1 within each query; 1 throughout if all are equal."""
-    lo, hi = F.min("score").over(OVER), F.max("score").over(OVER)
+    own = Window.partitionBy("qid")
+    lo, hi = F.min("score").over(own), F.max("score").over(own)
     return df.withColumn("score", F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0))
 
 
