@@ -140,7 +140,7 @@ def reshard_plan(docs: DataFrame, capacities: dict[str, int] | None = None, id_c
         cells.setdefault(r["old"], {})[r["cell"]] = r["bytes"]
     found, of = make_blocks(cells, blocks)
     if capacities is None:
-        capacities = even_capacities(found, len(found) + -(-len(found) // 4))
+        capacities = even_capacities(found, len(found) + -(-len(found) // 4) or 1)
     to = {(s, n): t for s, n, t in plan_moves(found, capacities)} if found else {}
     return [(s, c, n, to.get((s, n), s), (s, n) in to) for (s, c), n in sorted(of.items())]
 

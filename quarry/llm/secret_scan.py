@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NOVELTY = 0.7  #: marginal bytes for each byte of a candidate
+NOVELTY = 0.85  #: marginal bytes for each byte of a candidate
 AROUND = 1024  #: characters on either side that prime the dictionary
 LEAST = 12  #: bytes of a candidate
 
@@ -36,7 +36,7 @@ IDENTIFIERS = " ".join(
     resource response result return role route router runtime sample schema scope script search secret secret_key secretKey select sequence serial server service session
     settings setup shell signature size socket source standard static status storage stream string struct submit subject suffix super switch symbol sync system table target
     task template temporary test testing thread throw timeout timestamp token tokenizer tokenType tracking transaction transform true type undefined unique update upload username user_id
-    user validate value variable vector verify version view virtual void volume warning website widget window worker workspace write xxxxxxxx XXXXXXXX yourPasswordHere your_api_key
+    user validate value variable vector verify version view virtual void volume warning website widget window worker workspace write xxxxxxxx XXXXXXXX yourPasswordHere your_api_key process.env. os.environ SECRET_KEY ACCESS_TOKEN API_TOKEN DB_PASSWORD
     abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 0000000000 aaaaaaaa ffffffff""".split()
 )
 CONTEXT = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credential|bearer|client[_-]?key)")
