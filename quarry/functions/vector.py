@@ -26,6 +26,11 @@ def _pairs(a: Column, b: Column, f) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: f(x.cast("double"), y.cast("double"))))
 
 
+def held(value: Column, f) -> Column:
+    """f(value) with the value computed once, held in an array of one, however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def l2_sq(a: Column, b: Column) -> Column:
     """Sum of squared differences."""
     return _pairs(a, b, lambda x, y: (x - y) * (x - y))
@@ -78,12 +83,12 @@ def popcount(a: Column) -> Column:
 
 def pack_bits(bits: Column, n: int) -> Column:
     """n booleans as ceil(n / 64) words, the first bit lowest."""
-    word = lambda w: reduce(lambda s, i: s.bitwiseOR(F.when(F.get(bits, F.lit(i)), F.shiftleft(F.lit(1).cast("bigint"), i % 64)).otherwise(F.lit(0).cast("bigint"))), range(w * 64, min(n, w * 64 + 64)), F.lit(0).cast("bigint"))
-    return F.array(*[word(w) for w in range(-(-n // 64))])
+    word = lambda b, w: reduce(lambda s, i: s.bitwiseOR(F.when(F.get(b, F.lit(i)), F.shiftleft(F.lit(1).cast("bigint"), i % 64)).otherwise(F.lit(0).cast("bigint"))), range(w * 64, min(n, w * 64 + 64)), F.lit(0).cast("bigint"))
+    return held(bits, lambda b: F.array(*[word(b, w) for w in range(-(-n // 64))]))
 
 
 def unpack_bits(words: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.shiftrightunsigned(F.get(words, (i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1).cast("bigint")) == 1) if n else F.array().cast("array<boolean>")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.call_function("shiftrightunsigned", F.get(words, (i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1).cast("bigint")) == 1) if n else F.array().cast("array<boolean>")
 
 
 def l2_codes(a: Column, b: Column, scale: Column | float = 1.0) -> Column:
@@ -130,7 +135,8 @@ def random_axes(n: int, dim: int, seed: int) -> np.ndarray:
 
 
 def project(v: Column, axes: np.ndarray) -> Column:
-    return F.array(*[inner_product(v, F.array(*[F.lit(float(x)) for x in axis])) for axis in axes])
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in axis]) for axis in axes])
+    return held(v, lambda own: F.transform(table, lambda axis: inner_product(own, axis)))
 
 
 def hadamard(n: int) -> np.ndarray:
@@ -147,13 +153,9 @@ def walsh(v: Column, n: int = 64) -> Column:
     def step(a: Column, h: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when((F.floor(i / h) % 2) == 0, F.get(a, i) + F.get(a, i + h)).otherwise(F.get(a, i - h) - F.get(a, i)))
 
-    def held(out: Column, h: int) -> Column:
-        # an array of one holds the step before, which would be computed anew at each read
-        return F.flatten(F.transform(F.array(out), lambda a: step(a, h)))
-
     out, h = doubles(v), 1
     while h < n:
-        out = held(out, h)
+        out = held(out, (lambda s: lambda a: step(a, s))(h))
         h *= 2
     return F.transform(out, lambda x: x / float(np.sqrt(n)))
 

@@ -59,7 +59,7 @@ class Collection:
     def delete(self, ids: DataFrame, id_col: str = "id") -> None:
         """Ids that aren't there are no error."""
         z = lambda t: F.lit(None).cast(t)
-        self._append(ids.select(F.lit(self.last_lsn() + 1).cast("bigint").alias("lsn"), F.lit(DELETE).alias("op"), F.col(id_col).cast("bigint").alias("id"), z("array<float>").alias("vector"), z("map<string,string>").alias("tags"), z("map<string,double>").alias("nums")).distinct())
+        self._append(ids.select(id_col).distinct().select(F.lit(self.last_lsn() + 1).cast("bigint").alias("lsn"), F.lit(DELETE).alias("op"), F.col(id_col).cast("bigint").alias("id"), z("array<float>").alias("vector"), z("map<string,string>").alias("tags"), z("map<string,double>").alias("nums")))
 
     def view(self, upto: int | None = None) -> DataFrame:
         return latest_state(self.log(), upto=upto).select("id", "vector", "tags", "nums")

@@ -355,5 +355,5 @@ class Retention:
 
 def windowed_counts(events: DataFrame, minutes: int = 60, late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total): tumbling windows over event time; as a stream, rows later than late are dropped."""
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return own.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
