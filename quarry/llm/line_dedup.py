@@ -29,11 +29,18 @@ def html_lines(html: Column) -> Column:
     return F.filter(F.transform(cut, lambda x: F.regexp_replace(F.regexp_replace(x, TAGS, ""), EDGES, "")), lambda x: x != "")
 
 
+def line_key(line: Column) -> Column:
+    """128 bits that stand for a line where it would be shuffled or sent."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(7)).alias("b"))
+
+
 def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line, n) of pages (host, lines): lines on more than ratio of the pages of a host that has at least min_pages."""
+    """(host, key, n) of pages (host, lines): lines on more than ratio of the pages of a host that has at least min_pages."""
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_pages)
-    seen = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    return seen.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "line", "n")
+    keys = F.array_distinct(F.transform("lines", line_key))
+    # a line on no more than ratio * min_pages pages can't be one, whatever its host's total
+    seen = pages.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.lit(ratio * min_pages))
+    return seen.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "key", "n")
 
 
 def drop_site_boilerplate(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -47,10 +54,10 @@ def drop_site_boilerplate(pages: DataFrame, id_col: str = "page_id", url: str =
     lines = written(own, "lines")
     named = lines.where("host <> '' and lines is not null").select("host", "lines")
     # a host has at most its mean lines a page / ratio of these
-    bad = written(boilerplate_lines(named, ratio, min_pages).groupBy("host").agg(F.collect_list("line").alias("bad")), "boilerplate")
-    size = bad.agg(F.coalesce(F.sum(F.aggregate("bad", F.lit(64), lambda s, x: s + F.length(x) * 2 + 40)), F.lit(0)).alias("b")).first()["b"]
+    bad = written(boilerplate_lines(named, ratio, min_pages).groupBy("host").agg(F.collect_list("key").alias("bad")), "boilerplate")
+    size = bad.agg(F.coalesce(F.sum(F.size("bad") * 48 + 64), F.lit(0)).alias("b")).first()["b"]
     joined = join_checked(lines, bad, ["host"], "left", max(1, size // max(1, bad.count())))
-    kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", x)))
+    kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", line_key(x))))
     return joined.withColumn("kept", kept).select(
         "page_id", "host", F.concat_ws("\n", "kept").alias("joined"), "lines", "kept",
     ).select("page_id", "host", F.when(F.col("lines").isNotNull(), F.col("joined")).alias("text"), F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("bigint").alias("n_dropped"))
