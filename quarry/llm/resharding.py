@@ -174,8 +174,8 @@ def rewrite_affected(docs: DataFrame, path: str, capacities: dict[str, int] | No
     part = docs.where(_shard(F.col(shard)).isin(touched)) if touched else docs.limit(0)
     table = docs.sparkSession.createDataFrame([(a, c, b) for a, c, _, b, _ in plan if a in touched], f"`{old}` string, `{cell}` int, `{new}` string")
     out = _tagged(part, id_col, text, shard, old, cell, size).join(_sized(table, len(plan)), [old, cell]).select(*docs.columns, new)
-    # one task for each shard and slice of it: a large shard is spread over several files
-    out.repartition(new, F.pmod(F.xxhash64(id_col), F.lit(8))).write.partitionBy(new).parquet(path)
+    # rows of a shard go together, and a shard larger than a task should read is split
+    out.hint("rebalance", new).write.partitionBy(new).parquet(path)
     # a partition column's empty string is read back as null
     back = docs.sparkSession.read.option("basePath", path).schema(out.schema).parquet(path) if touched else out
     return back.withColumn(new, F.coalesce(new, F.lit(""))), sorted({a for a, *_ in plan} - set(touched))
