@@ -2,21 +2,25 @@
 
 Candidates are strings in a sensitive context: after a word as "password" or "token", or with the prefix of a known kind of
 key. Each is compressed with a dictionary of common identifiers and of the text around it without the candidate; what the
-candidate adds, over an empty one, is its marginal size. A string that compresses to little less than itself is news to its surroundings and is reported.
+candidate adds, between two words of the dictionary, is its marginal size. A string that adds little less than random ones of its
+length and alphabet do is news to its surroundings and is reported.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NOVELTY = 0.85  #: marginal bytes for each byte of a candidate
+NOVELTY = 0.85  #: marginal bytes of a candidate for each that a random string of its length and alphabet has
 AROUND = 1024  #: characters on either side that prime the dictionary
 LEAST = 12  #: bytes of a candidate
 
@@ -46,14 +50,31 @@ PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.*?)-----END [A-Z ]*PRIVAT
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "akia", "asia", "gh", "xox", "aiza", "sk-", "eyj")
 
 
+#: A candidate is compressed between these, which the dictionary has: a match in it costs what it costs in a long text.
+_HEAD, _TAIL = IDENTIFIERS[1000:1032].encode(), IDENTIFIERS[2000:2032].encode()
+_ALPHABETS = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.digits + string.ascii_letters, string.digits + string.ascii_letters + "+/=-_.")
+
+
+def _marginal(raw: bytes, around: str) -> int:
+    primed = zstandard.ZstdCompressionDict((IDENTIFIERS + around).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    zip_ = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False).compress
+    return len(zip_(_HEAD + raw + _TAIL)) - len(zip_(_HEAD + _TAIL))
+
+
+@lru_cache(maxsize=4096)
+def _random_bytes(alphabet: str, n: int) -> float:
+    """Marginal bytes of n random characters of an alphabet, the mean of three seeded strings: Huffman codes make them fewer than n."""
+    rng = random.Random(n)
+    return sum(_marginal("".join(rng.choices(alphabet, k=n)).encode(), "") for _ in range(3)) / 3
+
+
 def novelty(candidate: str, text: str, start: int, end: int) -> tuple[int, float]:
-    """(marginal compressed bytes, those for each byte) of text[start:end] against identifiers and the text around it."""
+    """(marginal compressed bytes against identifiers and the text around text[start:end], those for each that a random string adds)."""
     raw = candidate.encode("utf-8", "replace")
     around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).replace(candidate, "")
-    primed = zstandard.ZstdCompressionDict((IDENTIFIERS + around).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    zip_ = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False).compress
-    added = len(zip_(raw)) - len(zip_(b""))
-    return added, added / max(1, len(raw))
+    added, own = _marginal(raw, around), set(candidate)
+    alphabet = next((a for a in _ALPHABETS if own.issubset(a)), string.printable[:94])
+    return added, added / max(1, min(len(raw), _random_bytes(alphabet, len(raw))))
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -82,7 +103,10 @@ def find_secrets(text: str | None, threshold: float = NOVELTY) -> list[tuple[int
     out = []
     for i, j, kind in candidates(text):
         s = text[i:j]
-        added, share = novelty(s, text, i, j)
+        added, share = novelty("".join(s.split()), text, i, j)
+        if s.startswith("eyJ"):  # what is secret of a JSON web token is its signature, whatever the claims repeat
+            signed, own = novelty(s.rpartition(".")[2], text, i, j)
+            share = max(share, own if signed >= LEAST else 0.0)
         if share >= threshold:
             out.append((i, j, kind, added, round(share, 6), s[:4] + "*" * (min(len(s), 24) - 4), hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()))
     return out

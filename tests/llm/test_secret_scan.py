@@ -1,3 +1,5 @@
+import base64
+import json
 import random
 import string
 
@@ -25,6 +27,31 @@ def test_planted_secrets_are_found_and_plain_strings_left():
         assert m.find_secrets(text) == [], text
 
 
+def found(value, wrap, rng):
+    text = filler(rng, 100) + " " + wrap(value) + " " + filler(rng, 100)
+    return [text[i:j] for i, j, *_ in m.find_secrets(text)] == [value]
+
+
+def test_long_keys_of_small_alphabets_are_found():
+    rng = random.Random(8)
+    quoted = lambda s: f'token = "{s}"'
+    for n in (64, 96, 128, 256):
+        assert all(found(rng.randbytes(n // 2).hex(), quoted, rng) for _ in range(10)), n
+    for n in (1024, 1600, 3200):
+        body = base64.b64encode(rng.randbytes(n * 3 // 4)).decode()
+        pem = "\n" + "\n".join(body[i : i + 64] for i in range(0, n, 64)) + "\n"
+        assert found(pem, lambda s: f"-----BEGIN RSA PRIVATE KEY-----{s}-----END RSA PRIVATE KEY-----", rng), n
+        assert found(body, quoted, rng), n
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    for claims in (3, 20, 60):
+        payload = json.dumps({"sub": rng.randbytes(8).hex()} | {f"claim_{i}": "https://example.com/enabled" for i in range(claims)})
+        for size in (32, 256):
+            jwt = ".".join((url(b'{"alg":"RS256","typ":"JWT"}'), url(payload.encode()), url(rng.randbytes(size))))
+            assert found(jwt, lambda s: f"Authorization: Bearer {s}", rng), (claims, size)
+    for text in (f'secret = "{"a" * 200}"', f'token = "{"ab12" * 50}"', 'token = "' + "0123456789abcdef" * 8 + '"'):
+        assert m.find_secrets(text) == [], text
+
+
 def test_novelty_depends_on_the_surroundings():
     s = "9fK2mQ7xLp4Zt8Vw"
     assert m.novelty(s, s, 0, len(s))[1] >= 0.9
