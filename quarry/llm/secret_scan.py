@@ -3,7 +3,7 @@
 Candidates are strings in a sensitive context: after a word as "password" or "token", or with the prefix of a known kind of
 key. Each is compressed with a dictionary of common identifiers and of the text around it without the candidate; what the
 candidate adds, between two words of the dictionary, is its marginal size. A string that adds little less than random ones of its
-length and alphabet do is news to its surroundings and is reported.
+length and alphabet do is news to its surroundings and is reported, whatever its characters, if it adds enough bytes to be a key at all.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 NOVELTY = 0.85  #: marginal bytes of a candidate for each that a random string of its length and alphabet has
 AROUND = 1024  #: characters on either side that prime the dictionary
-LEAST = 12  #: bytes of a candidate
+LEAST = 6  #: marginal bytes of a secret
 
 IDENTIFIERS = " ".join(
     """access_key access_token account activate address admin algorithm api_key apikey application argument array assert async attribute auth
@@ -44,7 +44,7 @@ IDENTIFIERS = " ".join(
     abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 0000000000 aaaaaaaa ffffffff""".split()
 )
 CONTEXT = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credential|bearer|client[_-]?key)")
-VALUE = re.compile(r"""[A-Za-z_]{0,24}["']?\s{0,3}(?:=>|:=|[:=]|\s)\s{0,3}(?:(?:[Bb]earer|[Bb]asic)\s+)?["'`]?([^\s"'`,;<>(){}\[\]|]{%d,})""" % LEAST)
+VALUE = re.compile(r"""[A-Za-z_]{0,24}["']?\s{0,3}(?:=>|:=|[:=]|\s)\s{0,3}(?:(?:[Bb]earer|[Bb]asic)\s+)?["'`]?([^\s"'`,;<>(){}\[\]|]+)""")
 PREFIX = re.compile(r"(?<![A-Za-z0-9])(?:(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk-[A-Za-z0-9_\-]{20,}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,})(?![A-Za-z0-9])")
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.*?)-----END [A-Z ]*PRIVATE KEY-----", re.S)
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "akia", "asia", "gh", "xox", "aiza", "sk-", "eyj")
@@ -77,14 +77,22 @@ def novelty(candidate: str, text: str, start: int, end: int) -> tuple[int, float
     return added, added / max(1, min(len(raw), _random_bytes(alphabet, len(raw))))
 
 
+def _is_word(s: str) -> bool:
+    """Whether s is as words of prose are: letters of one case, or capitalised, joined by hyphens at most."""
+    return all(p.isalpha() and (p[1:] == p[1:].lower() or p.isupper()) for p in s.split("-"))
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of strings in a sensitive context, longest first where two overlap."""
+    """(start, end, kind) of strings in a sensitive context, longest first where two overlap.
+
+    Of any length and any characters; only after white space alone, without a sign, a quote or "Bearer", a plain word is no value but the next of a sentence.
+    """
     found = [(m.start(1), m.end(1), "private key") for m in PEM.finditer(text)]
     found += [(m.start(), m.end(), "known prefix") for m in PREFIX.finditer(text)]
     for m in CONTEXT.finditer(text):
         if v := VALUE.match(text, m.end()):
             s = v.group(1).rstrip(".!?%$#&*")
-            if len(s) >= LEAST and re.search(r"\d", s) and re.fullmatch(r"[!-~]+", s):
+            if s and (not _is_word(s) or m.group().lower() == "bearer" or re.search(r"[:=\"'`]|[Bb]earer\s|[Bb]asic\s", text[m.end() : v.start(1)])):
                 found.append((v.start(1), v.start(1) + len(s), "assigned"))
     kept: list[tuple[int, int, str]] = []
     for f in sorted(set(found), key=lambda f: (f[0] - f[1], f[0], f[2])):
@@ -107,8 +115,9 @@ def find_secrets(text: str | None, threshold: float = NOVELTY) -> list[tuple[int
         if s.startswith("eyJ"):  # what is secret of a JSON web token is its signature, whatever the claims repeat
             signed, own = novelty(s.rpartition(".")[2], text, i, j)
             share = max(share, own if signed >= LEAST else 0.0)
-        if share >= threshold:
-            out.append((i, j, kind, added, round(share, 6), s[:4] + "*" * (min(len(s), 24) - 4), hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()))
+        if share >= threshold and added >= LEAST:
+            shown = min(4, len(s) // 4)
+            out.append((i, j, kind, added, round(share, 6), s[:shown] + "*" * (min(len(s), 24) - shown), hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()))
     return out
 
 

@@ -52,6 +52,19 @@ def test_long_keys_of_small_alphabets_are_found():
         assert m.find_secrets(text) == [], text
 
 
+def test_short_letters_only_and_accented_passwords_are_found():
+    rng = random.Random(9)
+    quoted = lambda s: f'password = "{s}"'
+    assert found("qRtYvXzWkLmNpQsD", quoted, rng) and found("pä7Kx2mQvé9", quoted, rng)
+    assert found("qRtYvXzWkLmNpQsD", lambda s: f"password {s}", rng)
+    for n in (8, 9, 10, 11):
+        assert sum(found("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)), quoted, rng) for _ in range(50)) >= 48, n
+    for text in ("password = changeme", "password: required", 'password = "password1"', "token: undefined", "token = request.token", "the secret bofakame of it", "password protected Zusammenhang", "API_KEY=your_api_key", 'password = "12345678"', "key=abc"):
+        assert m.find_secrets(text) == [], text
+    (hit,) = m.find_secrets('password = "k7Qx2mVz"')
+    assert hit[5] == "k7******"
+
+
 def test_novelty_depends_on_the_surroundings():
     s = "9fK2mQ7xLp4Zt8Vw"
     assert m.novelty(s, s, 0, len(s))[1] >= 0.9
