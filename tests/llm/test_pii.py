@@ -30,6 +30,36 @@ def test_redaction():
     assert out == "Mail [EMAIL] or call [PHONE], card [CARD], from [IP], IBAN [IBAN]. Order 2024-01-15 version 1.2.3"
 
 
+def test_lists_and_cards_with_expiry_are_redacted_whole():
+    for text, want in (
+        ("Tel:\n555-123-4567\n555-987-6543\n555-222-3333", "Tel:\n[PHONE]\n[PHONE]\n[PHONE]"),
+        ("Visa 4111 1111 1111 1111 12/27", "Visa [CARD] 12/27"),
+        ("call 030 1234567 030 7654321", "call [PHONE] [PHONE]"),
+        ("cards 4111 1111 1111 1111 5500 0000 0000 0004", "cards [CARD] [CARD]"),
+        ("(555) 123-4567 (555) 987-6543 (555) 222-3333", "[PHONE] [PHONE] [PHONE]"),
+        ("La 213.174.22.103 anna.97@mail7.example.com 575569573", "La [IP] [EMAIL] 575569573"),
+        ("user=anna@x.com&foo=1", "user=[EMAIL]&foo=1"),
+        ("host 2001:db8::ff00:42:8329 and ::1, at 12:30:45 std::vector a::b", "host [IP] and [IP], at 12:30:45 std::vector a::b"),
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "IBAN [IBAN] BIC COBADEFF"),
+    ):
+        (spans,) = m.select(m.train(), [text])
+        assert m.redact(text, spans) == want
+    rng = np.random.default_rng(77)
+    made = [m.listed(rng, ("casa", "blue", "monday", "table")) for _ in range(300)]
+    whole = total = 0
+    for (_, right), got in zip(made, m.select(m.train(), [t for t, _ in made])):
+        total += len(right)
+        whole += len({s[:2] for s in right} & {g[:2] for g in got})
+    assert whole / total > 0.97
+
+
+def test_every_admissible_span_is_proposed():
+    text = "Tel:\n555-123-4567\n555-987-6543\n555-222-3333"
+    spans = {text[i:j] for i, j, k in m.proposals(text) if k == "PHONE"}
+    assert {"555-123-4567", "555-987-6543", "555-222-3333"} <= spans
+    assert "4111 1111 1111 1111" in {"4111 1111 1111 1111 12/27"[i:j] for i, j, k in m.proposals("4111 1111 1111 1111 12/27") if k == "CARD"}
+
+
 def test_overlaps_keep_the_likeliest():
     assert m.resolve([(0, 5, "A", 0.6), (3, 9, "B", 0.9), (9, 12, "C", 0.5)]) == [(3, 9, "B", 0.9), (9, 12, "C", 0.5)]
 
