@@ -48,7 +48,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_viterbi.encode_documents(table(spark, sf_dir, "documents"))
+    return sentencepiece_viterbi.encode_and_decode(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

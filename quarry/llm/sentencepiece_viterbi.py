@@ -329,8 +329,10 @@ def _encode(path: str, check: bool):
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(null))
                 columns = [b.column(0).slice(i, len(part)), lists, pa.array([None if x is None else len(x) for x in ids], pa.int32())]
                 if check:
-                    columns.append(pa.array([None if x is None else decode_ids(e.m, x) == t.replace(SPACE, " ") for x, t in zip(ids, part)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_ids", "round_trip"][: len(columns)])
+                    decoded = [decode_ids(e.m, x) for x in ids]
+                    columns.append(pa.array(decoded, pa.string()))
+                    columns.append(pa.array([None if t is None else d == t.replace(SPACE, " ") for d, t in zip(decoded, part)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_ids", "decoded", "round_trip"][: len(columns)])
 
     return run
 
@@ -344,6 +346,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(model, False), "doc_id bigint, ids array<int>, n_ids int")
 
 
+def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
+    """(doc_id, ids, n_ids, decoded, round_trip): as :func:`encode_documents`, with the text that each row's ids decode to and whether it is the row's own.
+
+    U+2581 comes back as a space, which counts as its own. A null text has nulls.
+    """
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(model, True), "doc_id bigint, ids array<int>, n_ids int, decoded string, round_trip boolean")
+
+
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
     """(doc_id, text) from ids; null ids give a null text, no ids an empty one. U+2581 comes back as a space, as the model has them alike."""
 

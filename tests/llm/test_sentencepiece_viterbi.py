@@ -66,5 +66,15 @@ def test_edges(edges, library):
     assert [r["text"] for r in back] == texts
 
 
+def test_the_query_decodes_every_document(spark, edges):
+    from quarry.llm import queries
+
+    rows = queries.op9_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    assert len(rows) == len(texts) and all(r["decoded"] == texts[r["doc_id"]] for r in rows)
+    assert all(r["round_trip"] == (None if r["decoded"] is None else True) for r in rows)
+    assert [r["decoded"] for r in m.encode_and_decode(edges).collect()] == [r["text"] for r in edges.collect()]
+
+
 def test_empty(empty):
     assert m.encode_documents(empty).count() == 0 and m.decode_documents(m.encode_documents(empty)).count() == 0
