@@ -306,8 +306,14 @@ class Capq:
 
         return _map(_rows(df, id_col, vec), run, "id bigint, planes array<bigint>, q4 array<smallint>, q8 array<smallint>, residual smallint")
 
-    def search(self, queries: DataFrame, codes: DataFrame, k: int = 10, keep1: int = 8000, keep2: int = 200) -> DataFrame:
-        """(qid, id, score, rank): the keep1 nearest by bits, of these keep2 by four bits, of these k by bytes, each truly the nearest."""
+    def search(self, queries: DataFrame, codes: DataFrame, k: int = 10, keep1: int | None = None, keep2: int | None = None) -> DataFrame:
+        """(qid, id, score, rank): the keep1 nearest by bits, of these keep2 by four bits, of these k by bytes, each truly the nearest.
+
+        Pools that aren't given are 8000 and 200, and beyond 80,000 codes a tenth and a four-hundredth of them.
+        """
+        if keep1 is None or keep2 is None:
+            n = codes.count()
+            keep1, keep2 = keep1 or max(8000, n // 10), keep2 or max(200, n // 400)
         q = self.encode(queries.select(F.col("qid").alias("id"), "vector")).select(F.col("id").alias("qid"), F.col("planes").alias("qp"), F.col("q4").alias("qq4"), F.col("q8").alias("qq8"))
         pairs = codes.crossJoin(q).withColumn("s1", vector.hamming(F.col("planes"), F.col("qp")))
         one = rank(pairs, keep1, "s1", name="r1").withColumn("s2", vector.l2_sq(F.col("q4"), F.col("qq4")))

@@ -558,7 +558,7 @@ def cascade_search(spark, sf_dir):
 def capq_search(spark, sf_dir):
     b = base(spark, sf_dir)
     model = quantize.train_capq(b)
-    return model.search(asked(spark, sf_dir), model.encode(b), 10, 400, 100)
+    return model.search(asked(spark, sf_dir), model.encode(b), 10)
 
 
 @query()

@@ -144,6 +144,19 @@ def test_capq(base, asked):
     assert np.allclose(w, 1)
 
 
+def test_capq_search_as_registered(spark, monkeypatch):
+    from quarry.plans import catalog
+
+    sf = "/root/testdata/sf0.1"
+    asked = catalog.asked(spark, sf).where("qid % 20 = 0")
+    monkeypatch.setattr(catalog, "asked", lambda *_: asked)
+    pools, ranked = [], quantize.rank
+    monkeypatch.setattr(quantize, "rank", lambda df, k, *a, **b: pools.append(k) or ranked(df, k, *a, **b))
+    got = catalog.capq_search(spark, sf)
+    assert pools[0] >= 8000 and pools[1] >= 200
+    assert recall(got, catalog.base(spark, sf), asked) > 0.9
+
+
 def test_isotonic():
     x, y = np.array([1, 2, 3, 4, 5.0]), np.array([1, 3, 2, 2, 5.0])
     m = quantize.fit_isotonic(x, y)
