@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import fresh, join_checked, written
 
 TEMPER = 0.75
+KEEP = 0.5  #: share of the tokens that a mixture without a total has at least
 SEED = 11
 
 
@@ -78,12 +79,26 @@ def tempered_weights(tokens: dict[str | None, int], temper: float = TEMPER) -> d
 
 
 def budgets(tokens: dict[str | None, int], weights: dict[str | None, float], total: int | None = None) -> dict[str | None, int]:
-    """Tokens wanted of each source; without a total, the largest that no source falls short of. Sources without a weight get none."""
+    """Tokens wanted of each source; one that has fewer than its weight asks for gives all, and the others share what it lacks by their weights.
+
+    Without a total, the largest that no source falls short of, but no less than the share KEEP of all tokens: a tiny source
+    doesn't shrink the mixture to its measure. Sources without a weight get none.
+    """
     live = {s: w for s, w in weights.items() if w > 0}
-    scale = sum(live.values())
     if total is None:
-        total = min((int(tokens.get(s, 0) * scale / w) for s, w in live.items()), default=0)
-    return {s: min(tokens.get(s, 0), round(total * w / scale)) for s, w in live.items()}
+        scale = sum(live.values())
+        total = max(min((int(tokens.get(s, 0) * scale / w) for s, w in live.items()), default=0), int(KEEP * sum(tokens.get(s, 0) for s in live)))
+    out: dict[str | None, int] = {}
+    while True:
+        scale = sum(live.values())
+        wanted = {s: round(total * w / scale) for s, w in live.items()}
+        short = [s for s, n in wanted.items() if tokens.get(s, 0) < n]
+        if not short:
+            return out | wanted
+        for s in short:
+            out[s] = tokens.get(s, 0)
+            total -= out[s]
+            del live[s]
 
 
 def _chosen(docs: DataFrame, id_col: str, text: str, source: str, weights, total, seed: int, names: tuple[str, str, str, str, str]) -> DataFrame:
@@ -119,7 +134,8 @@ def select_mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """docs reduced to a mixture in which each source has its share of tokens, to the token where lengths allow; all columns stay.
 
     weights: by source, null being a source of its own; None tempers the sources' own sizes. total: tokens wanted; None
-    takes the most that no source falls short of. A source with too few tokens gives all it has. Null and empty texts have
+    takes the most that no source falls short of, but half of all tokens at least. A source with too few tokens gives all it has and the
+    others make up for it. Null and empty texts have
     no tokens and are never chosen. The seeded order is by a hash of id and text: rows equal in both share one place, and
     are taken together if the first of them is. An empty table gives an empty result.
     """

@@ -59,6 +59,16 @@ def test_without_total_the_scarcest_source_is_used_whole():
     assert w["a"] / w["b"] < 100
 
 
+def test_a_tiny_source_does_not_shrink_the_others():
+    tokens = {"tiny": 3, "a": 10_000_000, "b": 10_000_000, None: 4_000_000}
+    b = m.budgets(tokens, m.tempered_weights(tokens))
+    assert b["tiny"] == 3 and abs(sum(b.values()) - sum(tokens.values()) // 2) <= 3
+    assert b["a"] == b["b"] and abs(b[None] / b["a"] - 0.4**0.75) < 1e-3
+    like = {"a": 1000, "b": 800}
+    assert m.budgets(like, {"a": 1.0, "b": 1.0}) == {"a": 800, "b": 800}
+    assert m.budgets({"a": 100, "b": 1000, "c": 1000}, {"a": 1.0, "b": 1.0, "c": 1.0}, 900) == {"a": 100, "b": 400, "c": 400}
+
+
 def test_edges(edges):
     out = m.select_mixture(edges)
     assert out.columns == edges.columns
