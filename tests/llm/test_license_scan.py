@@ -48,6 +48,13 @@ def test_finds_planted_templates_and_nothing_else():
         assert scanner.scan("this work is a version of the general license public " + filler(rng, 200)) == []
 
 
+def test_near_relatives_are_told_apart():
+    s, gpl, bsd = m.Scanner(), m.TEMPLATES["GPL-header"], m.TEMPLATES["BSD-2"]
+    third = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    for text, name in ((gpl, "GPL-header"), (gpl.replace("GNU General", "GNU Lesser General"), "LGPL-header"), (gpl.replace("GNU General", "GNU Affero General"), "AGPL-header"), (bsd, "BSD-2"), (bsd + third, "BSD-3")):
+        assert [h[0] for h in s.scan("some words before. " + text + " and after")] == [name]
+
+
 def test_two_in_one_text_and_repeats():
     s = m.Scanner()
     one, two = m.TEMPLATES["MIT-notice"], m.TEMPLATES["GPL-3.0-notice"]
