@@ -5,13 +5,21 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast up to this size in memory; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
+#: Texts are handed to Python code in slices of about so many bytes, whatever the number of rows in an Arrow batch.
+SLICE_BYTES = 1 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -72,3 +80,68 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def quoted(name: str) -> str:
+    """A column's name where an expression is parsed: dots in it are part of it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def cols(df: DataFrame) -> list[Column]:
+    """All columns of df by name."""
+    return [col(c) for c in df.columns]
+
+
+def type_of(df: DataFrame, name: str) -> str:
+    """The type of a column as DDL; ids keep theirs."""
+    return df.select(col(name)).schema[0].dataType.simpleString()
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch cut, in order, so that the texts in a slice have at most limit bytes or are a single one."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, i = np.cumsum(size + 64), 0
+    while i < len(size):
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def find_in_texts(docs: DataFrame, id_col: str, text: str, find: Callable[[], Callable[[str], Iterable[tuple]]], fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """(doc_id, fields): a row for each tuple that find()(text) gives of each text that is neither null nor empty. find is called once in each task."""
+    names = ["doc_id", *(n for n, _, _ in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = find()
+        for b in batches:
+            for part in slices(b, 1):
+                at, hits = [], []
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    for hit in one(t):
+                        at.append(i)
+                        hits.append(hit)
+                if at:
+                    columns = [pa.array([h[n] for h in hits], t) for n, (_, t, _) in enumerate(fields)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *columns], names=names)
+
+    schema = ", ".join([f"doc_id {type_of(docs, id_col)}", *(f"{quoted(n)} {t}" for n, _, t in fields)])
+    return docs.select(col(id_col).alias("doc_id"), col(text).alias("text")).where("text <> ''").mapInArrow(run, schema)
+
+
+def apart(spans: Iterable[tuple], start: int = 0, end: int = 1) -> list[tuple]:
+    """Of spans in order of preference those that overlap none preferred to them, in order of place: a sorted list is searched, not all that were kept."""
+    kept: list[tuple[int, int]] = []
+    out = []
+    for f in spans:
+        a, b = f[start], f[end]
+        n = bisect_left(kept, (a, b))
+        if (n and kept[n - 1][1] > a) or (n < len(kept) and kept[n][0] < b):
+            continue
+        insort(kept, (a, b))
+        out.append(f)
+    return sorted(out, key=lambda f: (f[start], f[end]))
