@@ -1,7 +1,7 @@
 """Secrets by dictionary-primed zstandard novelty.
 
 Candidates are strings in a sensitive context: after a word as "password" or "token", or with the prefix of a known kind of
-key. Each is compressed with a dictionary of common identifiers and of the text around it without the candidate; what the
+key. Each is compressed with a dictionary of common identifiers and of its whole text without the candidates; what the
 candidate adds, between two words of the dictionary, is its marginal size. A string that adds little less than random ones of its
 length and alphabet do is news to its surroundings and is reported, whatever its characters, if it adds enough bytes to be a key at all.
 """
@@ -12,16 +12,16 @@ import hashlib
 import random
 import re
 import string
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, partial
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from quarry.llm.shared import apart, find_in_texts
 
 NOVELTY = 0.85  #: marginal bytes of a candidate for each that a random string of its length and alphabet has
-AROUND = 1024  #: characters on either side that prime the dictionary
 LEAST = 6  #: marginal bytes of a secret
 
 IDENTIFIERS = " ".join(
@@ -44,9 +44,11 @@ IDENTIFIERS = " ".join(
     abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 0000000000 aaaaaaaa ffffffff""".split()
 )
 CONTEXT = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credential|bearer|client[_-]?key)")
-VALUE = re.compile(r"""[A-Za-z_]{0,24}["']?\s{0,3}(?:=>|:=|[:=]|\s)\s{0,3}(?:(?:[Bb]earer|[Bb]asic)\s+)?["'`]?([^\s"'`,;<>(){}\[\]|]+)""")
-PREFIX = re.compile(r"(?<![A-Za-z0-9])(?:(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk-[A-Za-z0-9_\-]{20,}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,})(?![A-Za-z0-9])")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.*?)-----END [A-Z ]*PRIVATE KEY-----", re.S)
+BEFORE = re.compile(r"""[A-Za-z_]{0,24}["']?(\s{0,3}(?:=>|:=|[:=]|\s)\s{0,3}(?:(?:[Bb]earer|[Bb]asic)\s{1,9})?["'`]?)(?=[^\s"'`,;<>(){}\[\]|])""")
+_END = re.compile(r"""[\s"'`,;<>(){}\[\]|]|\Z""")
+PREFIX = re.compile(r"(?<![A-Za-z0-9])(?:(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk-[A-Za-z0-9_\-]{20,}|(?<![_\-])eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,})(?![A-Za-z0-9])")
+PEM = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+#: Every candidate's text has one of these when its case is folded.
 _HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "akia", "asia", "gh", "xox", "aiza", "sk-", "eyj")
 
 
@@ -55,28 +57,42 @@ _HEAD, _TAIL = IDENTIFIERS[1000:1032].encode(), IDENTIFIERS[2000:2032].encode()
 _ALPHABETS = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.digits + string.ascii_letters, string.digits + string.ascii_letters + "+/=-_.")
 
 
-def _marginal(raw: bytes, around: str) -> int:
+def _measure(around: str) -> Callable[[bytes], int]:
+    """Marginal compressed bytes against identifiers and the text around; the dictionary is digested once for all candidates of a text."""
     primed = zstandard.ZstdCompressionDict((IDENTIFIERS + around).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed.precompute_compress(level=9)
     zip_ = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False).compress
-    return len(zip_(_HEAD + raw + _TAIL)) - len(zip_(_HEAD + _TAIL))
+    plain = len(zip_(_HEAD + _TAIL))
+    return lambda raw: len(zip_(_HEAD + raw + _TAIL)) - plain
+
+
+_alone = lru_cache(maxsize=1)(lambda: _measure(""))
 
 
 @lru_cache(maxsize=4096)
 def _random_bytes(alphabet: str, n: int) -> float:
     """Marginal bytes of n random characters of an alphabet, the mean of three seeded strings: Huffman codes make them fewer than n."""
     rng = random.Random(n)
-    return sum(_marginal("".join(rng.choices(alphabet, k=n)).encode(), "") for _ in range(3)) / 3
+    return sum(_alone()("".join(rng.choices(alphabet, k=n)).encode()) for _ in range(3)) / 3
 
 
-def novelty(candidate: str, text: str, start: int, end: int) -> tuple[int, float]:
-    """(marginal compressed bytes against identifiers and the text around text[start:end], those for each that a random string adds)."""
+def novelty(candidate: str, measure: Callable[[bytes], int]) -> tuple[int, float]:
+    """(marginal compressed bytes as measured, those for each that a random string adds)."""
     raw = candidate.encode("utf-8", "replace")
-    around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).replace(candidate, "")
-    added, own = _marginal(raw, around), set(candidate)
+    added, own = measure(raw), set(candidate)
     alphabet = next((a for a in _ALPHABETS if own.issubset(a)), string.printable[:94])
     return added, added / max(1, min(len(raw), _random_bytes(alphabet, len(raw))))
 
 
+def without(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """text without the spans."""
+    parts, at = [], 0
+    for i, j, _ in spans:
+        parts.append(text[at:i])
+        at = j
+    return "".join([*parts, text[at:]])
+
+
 def _is_word(s: str) -> bool:
     """Whether s is as words of prose are: letters of one case, or capitalised, joined by hyphens at most."""
     return all(p.isalpha() and (p[1:] == p[1:].lower() or p.isupper()) for p in s.split("-"))
@@ -85,35 +101,43 @@ def _is_word(s: str) -> bool:
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of strings in a sensitive context, longest first where two overlap.
 
-    Of any length and any characters; only after white space alone, without a sign, a quote or "Bearer", a plain word is no value but the next of a sentence.
+    Of any length and any characters, each string once however many such words it has; only after white space alone, without a sign, a quote or "Bearer", a plain word is no value but the next of a sentence.
     """
-    found = [(m.start(1), m.end(1), "private key") for m in PEM.finditer(text)]
+    found, begun = [], None
+    for m in PEM.finditer(text):
+        if m.group(1) == "BEGIN":
+            begun = m.end() if begun is None else begun
+        elif begun is not None:
+            found.append((begun, m.start(), "private key"))
+            begun = None
     found += [(m.start(), m.end(), "known prefix") for m in PREFIX.finditer(text)]
+    taken = 0  # a later candidate with the same end is a part of the one before
     for m in CONTEXT.finditer(text):
-        if v := VALUE.match(text, m.end()):
-            s = v.group(1).rstrip(".!?%$#&*")
-            if s and (not _is_word(s) or m.group().lower() == "bearer" or re.search(r"[:=\"'`]|[Bb]earer\s|[Bb]asic\s", text[m.end() : v.start(1)])):
-                found.append((v.start(1), v.start(1) + len(s), "assigned"))
-    kept: list[tuple[int, int, str]] = []
-    for f in sorted(set(found), key=lambda f: (f[0] - f[1], f[0], f[2])):
-        if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):
-            kept.append(f)
-    return sorted(kept)
+        if (v := BEFORE.match(text, m.end())) and v.end() >= taken:
+            end = _END.search(text, v.end()).start()
+            s = text[v.end() : end].rstrip(".!?%$#&*")
+            if s and (not _is_word(s) or m.group().lower() == "bearer" or re.search(r"[:=\"'`]|[Bb]earer\s|[Bb]asic\s", v.group(1))):
+                found.append((v.end(), v.end() + len(s), "assigned"))
+                taken = end
+    return apart(sorted(set(found), key=lambda f: (f[0] - f[1], f[0], f[2])))
 
 
 def find_secrets(text: str | None, threshold: float = NOVELTY) -> list[tuple[int, int, str, int, float, str, str]]:
     """(start, end, kind, marginal bytes, novelty, masked string, SHA-256) of each secret in a whole text."""
     if not text:
         return []
-    low = text.lower()
-    if not any(h in low for h in _HINTS) and "PRIVATE KEY" not in text:
+    low = text.casefold()
+    if not any(h in low for h in _HINTS):
+        return []
+    spans = candidates(text)
+    if not spans:
         return []
-    out = []
-    for i, j, kind in candidates(text):
+    measure, out = _measure(without(text, spans)), []
+    for i, j, kind in spans:
         s = text[i:j]
-        added, share = novelty("".join(s.split()), text, i, j)
+        added, share = novelty("".join(s.split()), measure)
         if s.startswith("eyJ"):  # what is secret of a JSON web token is its signature, whatever the claims repeat
-            signed, own = novelty(s.rpartition(".")[2], text, i, j)
+            signed, own = novelty(s.rpartition(".")[2], measure)
             share = max(share, own if signed >= LEAST else 0.0)
         if share >= threshold and added >= LEAST:
             shown = min(4, len(s) // 4)
@@ -124,14 +148,10 @@ def find_secrets(text: str | None, threshold: float = NOVELTY) -> list[tuple[int
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = NOVELTY) -> DataFrame:
     """(doc_id, start, end, kind, marginal_bytes, novelty, masked, sha256) of each secret; start and end count characters.
 
-    Null and empty texts have none. Repeated rows are reported each, rows with a null id with a null id. An empty table
-    gives an empty result. Extra columns are not read.
+    Null and empty texts have none. Repeated rows are reported each, rows with a null id with a null id; ids keep their type. Texts of
+    any length are read whole, and their cost grows with their length: of candidates that overlap the longest counts, of equals the first.
+    An empty table gives an empty result. Extra columns are not read, whatever their names.
     """
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = [(i, *hit) for i, t in zip(pdf["doc_id"], pdf["text"]) for hit in find_secrets(t, threshold)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "kind", "marginal_bytes", "novelty", "masked", "sha256"])
-            yield out.astype({"doc_id": "Int64", "start": "int64", "end": "int64", "marginal_bytes": "int64", "novelty": "float64"})
-
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text <> ''").mapInPandas(run, "doc_id bigint, start bigint, end bigint, kind string, marginal_bytes bigint, novelty double, masked string, sha256 string")
+    i64 = pa.int64(), "bigint"
+    fields = [("start", *i64), ("end", *i64), ("kind", pa.string(), "string"), ("marginal_bytes", *i64), ("novelty", pa.float64(), "double"), ("masked", pa.string(), "string"), ("sha256", pa.string(), "string")]
+    return find_in_texts(docs, id_col, text, lambda: partial(find_secrets, threshold=threshold), fields)
