@@ -10,29 +10,48 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import apart, col, slices, type_of
+
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
+
+
+def _class(pattern: str) -> str:
+    """The inside of a bracket expression with all characters that a pattern of one character matches here, for Java's regular expressions."""
+    at = [i for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and re.match(pattern, chr(i))]
+    runs: list[list[int]] = []
+    for i in at:
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return "".join(f"\\x{{{i:x}}}" + (f"-\\x{{{j:x}}}" if j > i else "") for i, j in runs)
+
+
 GENERATORS = (
-    ("EMAIL", re.compile(r"[^\s@<>()\[\]\"',;:|]+@[^\s@<>()\[\]\"',;:|]+")),
-    ("EMAIL", re.compile(r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}")),
-    ("IP", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])")),
-    ("IP", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){6})(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:])")),
+    ("IP", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])", re.A)),
+    ("IP", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){6})(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{0,4})(?![\w:])", re.A)),
     ("SSN", re.compile(r"(?<![\d\-])(?=(\d{3}[\- ]\d{2}[\- ]\d{4})(?![\d\-]))")),
-    ("IBAN", re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))")),
+    ("IBAN", re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[ \u00a0\u202f]?[A-Z0-9]{4}){2,7}(?:[ \u00a0\u202f]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))")),
 )
+#: What stands before and after the @ of an address: all but white space and signs that enclose, or letters, digits and few signs.
+_LOOSE = re.compile(r"[^\s@<>()\[\]\"',;:|]+")
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}")
+_NO_LOCAL = re.compile(r"[\s@<>()\[\]\"',;:|]"), re.compile(r"[^A-Za-z0-9._%+\-]")
 #: Kind, what may lie between two groups of digits, and the least and most digits.
-NUMBERS = (("PHONE", re.compile(r"[\s().\-/]{1,2}"), 7, 15), ("CARD", re.compile(r"[ \-]"), 13, 19))
-_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
-#: Every text with a candidate matches this; it runs in the JVM.
-ANY = r"\S@\S|\d(?:[\s().\-/]{0,2}\d){6}|\d{1,3}(?:\.\d{1,3}){3}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}|::|(?:[0-9A-Fa-f]{1,4}:){6}"
+NUMBERS = (("PHONE", re.compile(r"[\s().\-/\u2010-\u2015]{1,2}"), 7, 15), ("CARD", re.compile(r"[ \-\u00a0\u2007\u2009\u2010\u2011\u202f]"), 13, 19))
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ \u00a0\u202f]?[A-Z0-9]{4}){2,7}(?:[ \u00a0\u202f]?[A-Z0-9]{1,3})?")
+#: Every text with a candidate matches this; it runs in the JVM, whose own classes of digits and spaces are others than the generators'.
+ANY = rf"@|[{_class(r'\d')}][{_class(r'[\s().\-/\u2010-\u2015\u2007]')}{_class(r'\d')}]{{6}}|[0-9]\.[0-9]{{1,3}}\.[0-9]|[A-Z]{{2}}[0-9]{{2}}|::|(?:[0-9A-Fa-f]{{1,4}}:){{6}}"
 AROUND = 32
 
 _CUES = {
@@ -46,6 +65,11 @@ _CUES = {
 _WRONG = re.compile(r"(?i)\b(?:version|release|order|invoice|isbn|serial|build|part|sku|ticket|tracking|section|chapter|page|rfc|id|no\.|date|timestamp|model)\b|\bv$")
 
 
+def _plain(text: str) -> str:
+    """Digits of any script as 0 to 9."""
+    return text if text.isascii() else re.sub(r"\d", lambda m: str(int(m.group())), text)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -57,20 +81,36 @@ def luhn(digits: str) -> bool:
 
 
 def iban_valid(text: str) -> bool:
-    s = text.replace(" ", "")
+    s = re.sub(r"\s", "", text)
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Around each @ what may be an address, loosely and strictly. Between two @ each character is looked at a few times, however long the run."""
+    at = text.find("@")
+    before = 0  # where the part before an @ may begin
+    while at >= 0:
+        after = text.find("@", at + 1)
+        stop = after if after >= 0 else len(text)
+        for bad, domain in zip(_NO_LOCAL, (_LOOSE, _DOMAIN)):
+            start = at
+            while start > before and not bad.match(text, start - 1):
+                start -= 1
+            if start < at and (m := domain.match(text, at + 1, stop)):
+                end = m.end()
+                while end > at + 1 and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+                    end -= 1
+                if end > at + 1:
+                    yield start, end
+        before, at = at + 1, after
+
+
 def proposals(text: str) -> list[tuple[int, int, str]]:
     """All candidate spans (start, end, kind); spans of one kind or of several may overlap."""
-    out: dict[tuple[int, int, str], None] = {}
+    out: dict[tuple[int, int, str], None] = {(i, j, "EMAIL"): None for i, j in _emails(text)}
     for kind, pattern in GENERATORS:
         for m in pattern.finditer(text):
             start, end = m.span(1) if pattern.groups else m.span()
-            if kind == "EMAIL":
-                end = start + len(re.sub(r"[^\w]+$", "", m.group()))
-                if end <= text.index("@", start) + 1:
-                    continue
             out[start, end, kind] = None
             if kind == "IBAN":
                 for e in range(end - 1, start + 11, -1):
@@ -99,7 +139,7 @@ def proposals(text: str) -> list[tuple[int, int, str]]:
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
-    s = text[start:end]
+    s = _plain(text[start:end])
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
     digits = re.sub(r"\D", "", s)
     local, _, domain = s.partition("@")
@@ -116,7 +156,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         float(digits[:1] in "3456" if digits else 0),
         float(s.startswith(("+", "00"))),
         float("(" in s),
-        sum(c in " -./" for c in s),
+        sum(c in "-./" or c.isspace() for c in s),
         len(groups),
         max(map(len, groups), default=0),
         min(map(len, groups), default=0),
@@ -359,25 +399,29 @@ def train(rows: int = 6000, seed: int = 5, recall: float = 0.98) -> Model:
 
 def resolve(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
     """Of spans that overlap the one with the highest probability stays, then the longest, the first; in order of place."""
-    kept: list[tuple[int, int, str, float]] = []
-    for f in sorted(spans, key=lambda f: (-round(f[3], 6), f[0] - f[1], f[0], f[2])):
-        if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):
-            kept.append(f)
-    return sorted(kept)
+    return apart(sorted(spans, key=lambda f: (-round(f[3], 6), f[0] - f[1], f[0], f[2])))
 
 
 def select(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
     """Spans to redact of each text, scored together."""
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     found, x = [], []
+
+    def score() -> None:
+        if found:
+            for (n, i, j, k), p in zip(found, model.probabilities(np.array(x)).tolist()):
+                if p >= model.thresholds[k]:
+                    out[n].append((i, j, k, p))
+            found.clear()
+            x.clear()
+
     for n, t in enumerate(texts):
         for i, j, k in proposals(t) if t else ():
             found.append((n, i, j, k))
             x.append(features(t, i, j, k))
-    out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-    if found:
-        for (n, i, j, k), p in zip(found, model.probabilities(np.array(x)).tolist()):
-            if p >= model.thresholds[k]:
-                out[n].append((i, j, k, p))
+            if len(found) >= 20_000:
+                score()
+    score()
     return [resolve(o) for o in out]
 
 
@@ -393,16 +437,24 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """(doc_id, text, n_spans, spans) of each row with something to redact; spans have start, end, kind and probability.
 
     text is the whole text with each selected span replaced by its kind in brackets; start and end count characters of
-    the original. Null and empty texts have nothing. Repeated rows are redacted each, rows with a null id with a null id. An
-    empty table gives an empty result. Extra columns are not read.
+    the original. Null and empty texts have nothing. Repeated rows are redacted each, rows with a null id with a null id; ids keep their
+    type. Texts of any length are read whole, in time in proportion to their length. Of spans that overlap the likeliest counts, then the longest, then
+    the first. Digits and spaces of all scripts count. An empty table gives an empty result. Extra columns are not read, whatever their names.
     """
     model = train()
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            texts = pdf["text"].tolist()
-            spans = select(model, texts)
-            rows = [(i, redact(t, s), len(s), [{"start": a, "end": b, "kind": k, "probability": round(p, 6)} for a, b, k, p in s]) for i, t, s in zip(pdf["doc_id"], texts, spans) if s]
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "n_spans", "spans"]).astype({"doc_id": "Int64", "n_spans": "int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, 1):
+                texts = part.column(1).to_pylist()
+                spans = select(model, texts)
+                at = [n for n, s in enumerate(spans) if s]
+                if at:
+                    each = [[{"start": a, "end": b, "kind": k, "probability": round(p, 6)} for a, b, k, p in spans[n]] for n in at]
+                    columns = [part.column(0).take(pa.array(at, pa.int64())), pa.array([redact(texts[n], spans[n]) for n in at], pa.string()), pa.array([len(spans[n]) for n in at], pa.int32()), pa.array(each, _SPANS)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_spans", "spans"])
+
+    return docs.select(col(id_col).alias("doc_id"), col(text).alias("text")).where(F.col("text").rlike(ANY)).mapInArrow(run, f"doc_id {type_of(docs, id_col)}, text string, n_spans int, spans array<struct<start:bigint,end:bigint,kind:string,probability:double>>")
+
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(ANY)).mapInPandas(run, "doc_id bigint, text string, n_spans int, spans array<struct<start:bigint,end:bigint,kind:string,probability:double>>")
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("probability", pa.float64())]))
