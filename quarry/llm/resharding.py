@@ -1,23 +1,25 @@
 """Resharding by minimum-cost flow: the fewest bytes move from old shards to new capacities, and only touched shards are rewritten.
 
 A shard's rows fall into a fixed number of cells by a hash, runs of cells make blocks of about one size in all shards, and
-blocks move whole. The network has a node for each shard: keeping a block costs nothing, sending one away costs its bytes,
-so arcs out of a shard are its blocks from the smallest up. Successive shortest paths give the optimum. Capacities are in bytes; a shard may hold as many blocks as fit at the largest
-block's size, so no capacity is exceeded.
+blocks move whole. The network has a node for each shard and counts bytes: keeping one costs nothing, sending one away costs one.
+Successive shortest paths give the fewest bytes that must move, and the flow is rounded to whole blocks of as few bytes as can be. Capacities are in bytes and none is exceeded.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import BROADCAST_BYTES, fresh
+from quarry.llm.shared import BROADCAST_BYTES, col, cols, fresh
 
 CELLS = 128  #: hash cells of a shard
 BLOCKS = 32  #: blocks for each shard, on average
-SLACK = 0.25  #: room of the default capacities over the blocks there are
+SLACK = 0.25  #: room of the default capacities over the bytes there are
+GRAINS = 1 << 16  #: resolution of the choice of blocks that leave a shard
+NODES = 500_000  #: shards that the search over assignments looks at
 
 
 def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int, want: int) -> tuple[int, int, list[int]]:
@@ -59,39 +61,129 @@ def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, int]], source: int
     return flow, spent, [cap[2 * i + 1] for i in range(len(arcs))]
 
 
-def plan_moves(blocks: dict[str, list[tuple[int, int]]], capacities: dict[str, int]) -> list[tuple[str, int, str]]:
-    """(old shard, block, new shard) of the blocks that move, from blocks (number, bytes) of each shard and bytes that each new shard may hold.
-
-    The moved bytes are the fewest at which each new shard has at most floor(capacity / largest block) blocks. ValueError if the blocks don't fit.
-    """
-    unit = max((b for own in blocks.values() for _, b in own), default=1) or 1
-    old, new = sorted(blocks), sorted(capacities)
-    if not old:
-        return []
+def _transfers(sizes: dict[str, int], capacities: dict[str, int]) -> int | None:
+    """The fewest bytes that must move if bytes could move singly, by the flow; None if they don't fit at all."""
+    old, new = sorted(sizes), sorted(capacities)
     s, t, hub = 0, 1, 2
     a = {x: 3 + i for i, x in enumerate(old)}
     b = {x: 3 + len(old) + i for i, x in enumerate(new)}
-    arcs, what = [], []
+    arcs = []
     for x in old:
-        own = sorted(blocks[x], key=lambda y: (y[1], y[0]))
-        arcs.append((s, a[x], len(own), 0))
-        what.append(None)
+        arcs += [(s, a[x], sizes[x], 0), (a[x], hub, sizes[x], 1)]
         if x in b:
-            arcs.append((a[x], b[x], len(own), 0))
-            what.append(None)
-        for n, size in own:
-            arcs.append((a[x], hub, 1, size))
-            what.append((x, n))
+            arcs.append((a[x], b[x], sizes[x], 0))
     for y in new:
-        arcs += [(hub, b[y], 1 << 40, 0), (b[y], t, capacities[y] // unit, 0)]
-        what += [("in", y), None]
-    total = sum(map(len, blocks.values()))
-    flow, _, on = min_cost_flow(3 + len(old) + len(new), arcs, s, t, total)
-    if flow < total:
-        raise ValueError("the blocks don't fit in the capacities; give more capacity or smaller blocks")
-    out = [w for w, f in zip(what, on) if w and w[0] != "in" and f]
-    into = [w[1] for w, f in zip(what, on) if w and w[0] == "in" for _ in range(f)]
-    return [(x, n, y) for (x, n), y in zip(out, into)]
+        arcs += [(hub, b[y], 1 << 62, 0), (b[y], t, capacities[y], 0)]
+    total = sum(sizes.values())
+    flow, cost, _ = min_cost_flow(3 + len(old) + len(new), arcs, s, t, total)
+    return cost if flow == total else None
+
+
+def _leaving(own: list[tuple[int, int]], room: int) -> set[int]:
+    """Blocks that leave a shard so that the others fit in room, of the fewest bytes at a resolution of 1/GRAINS of room."""
+    if sum(b for _, b in own) <= room:
+        return set()
+    grain = -(-room // GRAINS) or 1
+    limit, reach, steps = room // grain, 1, []
+    for n, size in own:
+        steps.append((n, -(-size // grain), reach))
+        reach |= (reach << steps[-1][1]) & ((1 << (limit + 1)) - 1)
+    at, stay = reach.bit_length() - 1, set()
+    for n, size, before in reversed(steps):
+        if not before >> at & 1:
+            at -= size
+            stay.add(n)
+    return {n for n, _ in own} - stay
+
+
+def plan_moves(blocks: dict[str, list[tuple[int, int]]], capacities: dict[str, int]) -> list[tuple[str, int, str]]:
+    """(old shard, block, new shard) of the blocks that move, from blocks (number, bytes) of each shard and bytes that each new shard may hold.
+
+    A minimum-cost flow in bytes tells the fewest bytes that must move. It is rounded to whole blocks: each shard gives up blocks of the fewest
+    bytes, the largest go first, each into the most room, or into the least that holds it if that leaves one without. If that moves more than the flow does, or leaves a block
+    without room, a search over all assignments, cut by that bound and by what was found, goes on for NODES steps; within these
+    the plan is the cheapest there is. No capacity is ever exceeded. ValueError if the bytes don't fit, or no whole blocks are found that do.
+    """
+    if not blocks:
+        return []
+    sizes = {x: sum(b for _, b in own) for x, own in blocks.items()}
+    least = _transfers(sizes, capacities)
+    if least is None:
+        raise ValueError("the blocks don't fit in the capacities; give more capacity")
+    each = sorted(((size, x, n) for x, own in blocks.items() for n, size in own), key=lambda e: (-e[0], e[1], e[2]))
+    gone = {(x, n) for x, own in blocks.items() for n in (_leaving(own, capacities[x]) if x in capacities else {n for n, _ in own})}
+    room = dict(capacities)
+    for size, x, n in each:
+        if (x, n) not in gone:
+            room[x] -= size
+    going = [e for e in each if (e[1], e[2]) in gone]
+    best = _placed(going, room, False)
+    if best is None:
+        best = _placed(going, room, True)
+    cost = sum(size for size, _, _ in going) if best is not None else 1 << 62
+    if cost > least:
+        best = _assign(each, dict(capacities), least, cost, best)
+    if best is None:
+        raise ValueError("no whole blocks were found that fit in the capacities; give more capacity or smaller blocks")
+    return best
+
+
+def _placed(going: list[tuple[int, str, int]], room: dict[str, int], tight: bool) -> list[tuple[str, int, str]] | None:
+    """Where blocks (bytes, shard, number), largest first, go: each to the most room, or to the least that holds it; None if one has none."""
+    free, out = sorted((r, y) for y, r in room.items()), []
+    for size, x, n in going:
+        lo = bisect_left(free, (size, ""))
+        at = next((i for i in (range(lo, len(free)) if tight else range(len(free) - 1, lo - 1, -1)) if free[i][1] != x), None)
+        if at is None:
+            return None
+        r, y = free.pop(at)
+        insort(free, (r - size, y))
+        out.append((x, n, y))
+    return out
+
+
+def _assign(each: list[tuple[int, str, int]], room: dict[str, int], least: int, cost: int, best: list | None) -> list | None:
+    """The cheapest assignment of blocks, largest first, that costs less than cost, as far as NODES steps find it; else best."""
+    steps, i, moved = 0, 0, 0
+    chosen: list[str] = []
+    options: list[list[str]] = []
+    last = {x: j for j, (_, x, _) in enumerate(each)}
+    while steps < NODES and cost > least:
+        steps += 1
+        if i == len(each):
+            cost, best = moved, [(x, n, y) for (_, x, n), y in zip(each, chosen) if x != y]
+        elif len(options) == i:
+            size, x, _ = each[i]
+            own, seen, others = [x] if room.get(x, -1) >= size else [], set(), []
+            if moved + size < cost:
+                steps += len(room)
+                # shards with blocks still to place are told apart, of the others one of each room is enough
+                for r, y in sorted(((r, y) for y, r in room.items() if r >= size and y != x), key=lambda e: (-e[0], e[1])):
+                    if last.get(y, -1) >= i or r not in seen:
+                        others.append(y)
+                        if last.get(y, -1) < i:
+                            seen.add(r)
+            options.append((own + others)[::-1])
+        if i < len(each) and options[i]:
+            size, x, _ = each[i]
+            y = options[i].pop()
+            if y == x or moved + size < cost:
+                room[y] -= size
+                moved += size * (x != y)
+                chosen.append(y)
+                i += 1
+                continue
+            options[i].clear()
+        if i < len(each):
+            options.pop()
+        if i == 0:
+            break
+        i -= 1
+        size, x, _ = each[i]
+        y = chosen.pop()
+        room[y] += size
+        moved -= size * (x != y)
+    return best
 
 
 def make_blocks(cells: dict[str, dict[int, int]], blocks: int = BLOCKS) -> tuple[dict[str, list[tuple[int, int]]], dict[tuple[str, int], int]]:
@@ -116,7 +208,7 @@ def even_capacities(blocks: dict[str, list[tuple[int, int]]], shards: int, slack
     names = sorted(blocks)[:shards]
     names += [f"shard-{i:05d}" for i in range(shards - len(names))]
     unit = max((b for own in blocks.values() for _, b in own), default=1) or 1
-    return dict.fromkeys(names, -(-int(sum(map(len, blocks.values())) * (1 + slack)) // shards) * unit + unit)
+    return dict.fromkeys(names, int(sum(b for own in blocks.values() for _, b in own) * (1 + slack)) // shards + unit)
 
 
 def _shard(column: Column) -> Column:
@@ -125,8 +217,8 @@ def _shard(column: Column) -> Column:
 
 
 def _tagged(docs: DataFrame, id_col: str, text: str, shard: str, old: str, cell: str, size: str) -> DataFrame:
-    bytes_ = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
-    return docs.withColumns({old: _shard(F.col(shard)), cell: F.pmod(F.xxhash64(id_col, text), F.lit(CELLS)).cast("int"), size: bytes_})
+    bytes_ = F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("bigint")
+    return docs.withColumns({old: _shard(col(shard)), cell: F.pmod(F.xxhash64(col(id_col), col(text)), F.lit(CELLS)).cast("int"), size: bytes_})
 
 
 def reshard_plan(docs: DataFrame, capacities: dict[str, int] | None = None, id_col: str = "doc_id", text: str = "text", shard: str = "source", blocks: int = BLOCKS) -> list[tuple[str, int, int, str, bool]]:
@@ -134,7 +226,7 @@ def reshard_plan(docs: DataFrame, capacities: dict[str, int] | None = None, id_c
 
     Without capacities there are a quarter more shards than before, of equal capacity.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(shard).alias("shard"))
+    own = docs.select(col(id_col).alias("id"), col(text).alias("text"), col(shard).alias("shard"))
     cells: dict[str, dict[int, int]] = {}
     for r in _tagged(own, "id", "text", "shard", "old", "cell", "size").groupBy("old", "cell").agg(F.sum("size").alias("bytes")).collect():
         cells.setdefault(r["old"], {})[r["cell"]] = r["bytes"]
@@ -149,11 +241,11 @@ def reshard(docs: DataFrame, capacities: dict[str, int] | None = None, id_col: s
     """(doc_id, old_shard, block, new_shard, moved, n_bytes) of every row.
 
     A block is rows of one shard by a hash of id and text: repeated rows stay together. A null shard is the shard "", null
-    and empty texts weigh nothing. ValueError if capacities are too small. An empty table gives an empty result; extra
-    columns are not read.
+    and empty texts weigh nothing; texts of any length are weighed whole. ValueError if capacities are too small. An empty table gives an empty result; extra
+    columns are not read, whatever their names.
     """
     plan = reshard_plan(docs, capacities, id_col, text, shard, blocks)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(shard).alias("shard"))
+    own = docs.select(col(id_col).alias("doc_id"), col(text).alias("text"), col(shard).alias("shard"))
     tagged = _tagged(own, "doc_id", "text", "shard", "old_shard", "cell", "n_bytes")
     table = docs.sparkSession.createDataFrame(plan, "old_shard string, cell int, block int, new_shard string, moved boolean")
     return tagged.join(_sized(table, len(plan)), ["old_shard", "cell"]).select("doc_id", "old_shard", "block", "new_shard", "moved", "n_bytes")
@@ -171,9 +263,9 @@ def rewrite_affected(docs: DataFrame, path: str, capacities: dict[str, int] | No
     plan = reshard_plan(docs, capacities, id_col, text, shard, blocks)
     touched = sorted({x for a, _, _, b, moved in plan if moved for x in (a, b)})
     old, cell, size, new = (fresh(docs, n) for n in ("old_shard", "cell", "n_bytes", "new_shard"))
-    part = docs.where(_shard(F.col(shard)).isin(touched)) if touched else docs.limit(0)
+    part = docs.where(_shard(col(shard)).isin(touched)) if touched else docs.limit(0)
     table = docs.sparkSession.createDataFrame([(a, c, b) for a, c, _, b, _ in plan if a in touched], f"`{old}` string, `{cell}` int, `{new}` string")
-    out = _tagged(part, id_col, text, shard, old, cell, size).join(_sized(table, len(plan)), [old, cell]).select(*docs.columns, new)
+    out = _tagged(part, id_col, text, shard, old, cell, size).join(_sized(table, len(plan)), [old, cell]).select(*cols(docs), new)
     # rows of a shard go together, and a shard larger than a task should read is split
     out.hint("rebalance", new).write.partitionBy(new).parquet(path)
     # a partition column's empty string is read back as null
@@ -187,7 +279,7 @@ def resharded(docs: DataFrame, path: str, capacities: dict[str, int] | None = No
     Rows of touched shards are read from the rewritten files, the others from where they stay. Nulls and empty tables as in :func:`reshard`.
     """
     files, rest = rewrite_affected(docs, path, capacities, id_col, text, shard, blocks)
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes")
-    new = files.select(F.col(id_col).alias("doc_id"), _shard(F.col(shard)).alias("old_shard"), F.col(files.columns[-1]).alias("new_shard"), F.lit(True).alias("rewritten"), size)
-    still = docs.where(_shard(F.col(shard)).isin(rest)) if rest else docs.limit(0)
-    return new.unionByName(still.select(F.col(id_col).alias("doc_id"), _shard(F.col(shard)).alias("old_shard"), _shard(F.col(shard)).alias("new_shard"), F.lit(False).alias("rewritten"), size))
+    size = F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("bigint").alias("n_bytes")
+    new = files.select(col(id_col).alias("doc_id"), _shard(col(shard)).alias("old_shard"), F.col(files.columns[-1]).alias("new_shard"), F.lit(True).alias("rewritten"), size)
+    still = docs.where(_shard(col(shard)).isin(rest)) if rest else docs.limit(0)
+    return new.unionByName(still.select(col(id_col).alias("doc_id"), _shard(col(shard)).alias("old_shard"), _shard(col(shard)).alias("new_shard"), F.lit(False).alias("rewritten"), size))
