@@ -30,6 +30,31 @@ def test_budget_is_met_or_nearly(counts, budget):
         assert got >= budget - max(counts)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 4), max_size=4), st.integers(0, 90))
+def test_budget_against_brute_force(counts, budget):
+    sums = {sum(k * n for k, n in zip(counts, ns)) for ns in product(*[range(c + 1) for c in counts.values()])}
+    taken = m.fit_budget(counts, budget)
+    assert sum(k * n for k, n in taken.items()) == max(s for s in sums if s <= budget)
+    assert all(0 < n <= counts[k] for k, n in taken.items())
+
+
+def test_large_budgets_are_met_to_the_token():
+    counts = {k: 1 + 10**6 // k**2 for k in range(7, 3000, 3)} | {60_000: 2, 99_991: 1}
+    total = sum(k * n for k, n in counts.items())
+    for budget in (total // 2, total // 3 + 1, total - 1000):
+        assert sum(k * n for k, n in m.fit_budget(counts, budget).items()) == budget
+    assert m.fit_budget({3: 10, 10: 1}, 10) in ({10: 1}, {3: 0, 10: 1})
+    assert m.fit_budget({3: 2, 4: 3}, 6) == {3: 2}
+
+
+def test_a_common_length_is_cut_in_parts(docs, monkeypatch):
+    df = docs([(i, f"a b {i}", "s" if i % 3 else None) for i in range(2000)] + [(5, "a b 5", "s")])
+    want = sorted(r["doc_id"] for r in m.mixture(df, total=1500).collect())
+    monkeypatch.setattr(m, "HOT", 10)
+    assert sorted(r["doc_id"] for r in m.mixture(df, total=1500).collect()) == want and 490 < len(want) <= 500
+
+
 def rows(n=900):
     return [(i, " ".join(["w"] * (1 + (i * 7) % 40)) + f" {i}", "abc"[(i * i + i) % 5 % 3]) for i in range(n)]
 
