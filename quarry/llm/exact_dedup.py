@@ -17,7 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import fresh, join_checked, tasks, written
+from quarry.llm.shared import col, cols, fresh, join_checked, quoted, tasks, written
+
+OWNED = 4_000_000  #: fingerprints of an owner, about, so that its arrays fit in a worker
 
 
 def rice_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -95,10 +97,10 @@ def _suspects(owners: int):
 
 
 def suspect_fingerprints(docs: DataFrame, text: str = "text", owners: int | None = None) -> DataFrame:
-    """The fingerprints, column fp, that more than one non-null text has, as a written table."""
+    """The fingerprints, column fp, that more than one non-null text has, as a written table. Without a number of owners each has about OWNED fingerprints."""
     spark = docs.sparkSession
-    owners = owners or tasks(spark)
-    home = written(docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("fp")).mapInArrow(_blocks(owners), "part int, owner int, n int, k int, block binary"), "home")
+    owners = owners or max(tasks(spark), -(-docs.count() // OWNED))
+    home = written(docs.where(col(text).isNotNull()).select(F.xxhash64(col(text)).alias("fp")).mapInArrow(_blocks(owners), "part int, owner int, n int, k int, block binary"), "home")
     bitmaps = home.groupBy("owner").applyInPandas(_bitmaps, "part int, owner int, bitmap binary")
     return written(home.join(bitmaps, ["part", "owner"]).mapInPandas(_suspects(owners), "fp bigint").distinct(), "suspects")
 
@@ -106,27 +108,35 @@ def suspect_fingerprints(docs: DataFrame, text: str = "text", owners: int | None
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (doc_id, dup_of, copies) for each document to drop: dup_of is the lowest id of the same text, copies how many rows have it.
 
-    Null texts are never duplicates; an empty text is a text like any other. Among equal texts null ids count as the
-    highest. Rows repeated with their id give one row for each repetition. An empty table gives an empty result. Extra columns are not read.
+    Null texts are never duplicates; an empty text is a text like any other, and texts of any length are compared whole. Among equal texts
+    null ids count as the highest. Rows repeated with their id give one row for each repetition. An empty table gives an empty result.
+    Extra columns are not read, whatever their names.
     """
-    fp = fresh(docs, "fp")
-    suspects = suspect_fingerprints(docs, text).withColumnRenamed("fp", fp)
-    rows = join_checked(docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias(fp)), suspects, [fp], "left_semi", 40)
-    # null ids last: ordered by (is null, id)
-    groups = rows.groupBy(fp, "text").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id"))).alias("ids"))
-    return groups.where(F.size("ids") > 1).select(F.posexplode("ids").alias("place", "d"), F.col("ids")[0]["doc_id"].alias("dup_of"), F.size("ids").cast("bigint").alias("copies")).where("place > 0").select(F.col("d.doc_id").alias("doc_id"), "dup_of", "copies")
+    suspects = suspect_fingerprints(docs, text)
+    own = docs.where(col(text).isNotNull()).select(col(id_col).alias("doc_id"), col(text).alias("text"), F.xxhash64(col(text)).alias("fp"))
+    # a number for each row, fixed by writing it, tells rows apart that repeat an id
+    rows = written(join_checked(own, suspects, ["fp"], "left_semi", 40).withColumn("row", F.monotonically_increasing_id()), "suspect_rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))
+    heads = written(rows.groupBy("fp", "text").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")), "heads")
+    # one text has a fingerprint nearly always, and its rows need no text to find their head
+    mixed = written(heads.groupBy("fp").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("fp"), "mixed")
+    alone = join_checked(heads.where("copies > 1").select("fp", "first", "copies"), mixed, ["fp"], "left_anti", 40)
+    shared = join_checked(heads.where("copies > 1"), mixed, ["fp"], "left_semi", 40)
+    joined = join_checked(rows.select("fp", "doc_id", "row"), alone, ["fp"], "inner", 80).select("doc_id", "row", "first", "copies")
+    clashing = join_checked(rows, mixed, ["fp"], "left_semi", 40).join(shared, ["fp", "text"]).select("doc_id", "row", "first", "copies")
+    return joined.union(clashing).where(F.col("row") != F.col("first.row")).select("doc_id", F.col("first.doc_id").alias("dup_of"), "copies")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without exact duplicates: of the rows with one text the one with the lowest id stays, whole.
 
-    Nulls, empty texts and ties as in :func:`exact_duplicates`; of rows that repeat an id with its text, one stays. All
+    Nulls, empty and long texts and ties as in :func:`exact_duplicates`; of rows that repeat an id with its text, one stays. All
     columns are kept, whatever their names.
     """
     fp, row, order = fresh(docs, "fp"), fresh(docs, "row"), fresh(docs, "order")
     suspects = suspect_fingerprints(docs, text).withColumnRenamed("fp", fp)
-    tagged = docs.withColumn(fp, F.when(F.col(text).isNotNull(), F.xxhash64(text)))
-    once = join_checked(tagged, suspects, [fp], "left_anti", 40).select(*docs.columns)
+    tagged = docs.withColumn(fp, F.when(col(text).isNotNull(), F.xxhash64(col(text))))
+    once = join_checked(tagged, suspects, [fp], "left_anti", 40).select(*cols(docs))
     rest = join_checked(tagged, suspects, [fp], "left_semi", 40)
-    first = rest.groupBy(fp, F.col(text).alias(order)).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"))).alias(row))
-    return once.unionByName(first.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
+    first = rest.groupBy(fp, col(text).alias(order)).agg(F.min_by(F.struct(*cols(docs)), F.struct(col(id_col).isNull().alias("no"), col(id_col).alias("id"))).alias(row))
+    return once.unionByName(first.select(*[F.col(f"{row}.{quoted(c)}").alias(c) for c in docs.columns]))

@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from quarry.llm.shared import apart, find_in_texts
 
 COVERAGE = 0.8
 
@@ -131,11 +131,7 @@ class Scanner:
                 found += self._within(t, plain, start, end)
                 lo = hi + 1
         found.sort(key=lambda f: (-f[4], -f[3], f[0]))
-        kept: list[tuple] = []
-        for f in found:
-            if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
-                kept.append(f)
-        return [(name, own[i][1], own[j - 1][2], round(c, 6)) for name, i, j, c, _ in sorted(kept, key=lambda f: f[1])]
+        return [(name, own[i][1], own[j - 1][2], round(c, 6)) for name, i, j, c, _ in apart(found, 1, 2)]
 
     def _within(self, t: Template, plain: list[str], start: int, end: int) -> list[tuple[str, int, int, float, int]]:
         """Alignments of the template in plain[start:end], from left to right, in windows of twice its length that overlap by half."""
@@ -168,15 +164,9 @@ class Scanner:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, start, end, coverage) of each license found; start and end count characters of the whole text.
 
-    Null and empty texts have none. Repeated rows are reported each, rows with a null id with a null id. An empty table gives an empty
-    result. Extra columns are not read.
+    Null and empty texts have none. Repeated rows are reported each, rows with a null id with a null id; ids keep their type. Texts of any
+    length are read whole. A license spread over more than 1.5 times its template's words is none. Of spans that overlap the one with the
+    most matching words counts, then the best covered, then the template's name. An empty table gives an empty result. Extra columns are not read, whatever their names.
     """
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, coverage)
-        for pdf in pdfs:
-            rows = [(i, *hit) for i, t in zip(pdf["doc_id"], pdf["text"]) for hit in scanner.scan(t)]
-            out = pd.DataFrame(rows, columns=["doc_id", "license", "start", "end", "coverage"])
-            yield out.astype({"doc_id": "Int64", "start": "int64", "end": "int64", "coverage": "float64"})
-
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text <> ''").mapInPandas(run, "doc_id bigint, license string, start bigint, end bigint, coverage double")
+    fields = [("license", pa.string(), "string"), ("start", pa.int64(), "bigint"), ("end", pa.int64(), "bigint"), ("coverage", pa.float64(), "double")]
+    return find_in_texts(docs, id_col, text, lambda: Scanner(templates, coverage).scan, fields)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import fresh, join_checked, written
+from quarry.llm.shared import col, join_checked, written
 
 RATIO = 0.2
 MIN_PAGES = 5
@@ -30,8 +30,8 @@ def html_lines(html: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """128 bits that stand for a line where it would be shuffled or sent."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(7)).alias("b"))
+    """128 bits that stand for a line where it would be shuffled or sent: hashes from two seeds, so that neither follows from the other."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
 def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -48,9 +48,10 @@ def drop_site_boilerplate(pages: DataFrame, id_col: str = "page_id", url: str =
 
     A page with a null address or none that has a host belongs to no site and keeps all its lines; its host is null or
     empty. Null html gives null text and 0 lines, empty html an empty text. A line counts once a page; rows that repeat a
-    page count as pages each. An empty table gives an empty result; extra columns are not read.
+    page count as pages each. Html of any length is read whole.
+    An empty table gives an empty result; extra columns are not read, whatever their names.
     """
-    own = pages.select(F.col(id_col).alias("page_id"), host(F.col(url)).alias("host"), html_lines(F.col(html)).alias("lines"))
+    own = pages.select(col(id_col).alias("page_id"), host(col(url)).alias("host"), html_lines(col(html)).alias("lines"))
     lines = written(own, "lines")
     named = lines.where("host <> '' and lines is not null").select("host", "lines")
     # a host has at most its mean lines a page / ratio of these

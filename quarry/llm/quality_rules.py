@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import fresh
+from quarry.llm.shared import col, cols, fresh
 
 #: Labelled rows the list is fitted on at most, picked by a seeded hash of their id.
 MAX_TRAIN_ROWS = 20_000
@@ -42,7 +42,7 @@ STOP = ("the", "of", "and", "to", "in", "a", "is", "that", "der", "die", "und",
 def with_stats(docs: DataFrame, text: str, prefix: str) -> DataFrame:
     """docs with the columns prefix + each of STATS."""
     out = docs
-    for name, column in text_stats(F.col(text)):
+    for name, column in text_stats(col(text)):
         out = out.withColumn(prefix + name, column)
     c = lambda n: F.col(prefix + n)
     words, chars = F.greatest(F.size(c("_words")), F.lit(1)), F.greatest(c("n_chars"), F.lit(1))
@@ -153,10 +153,12 @@ def learn_decision_list(stats: pd.DataFrame, reject: np.ndarray, min_precision:
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_train_rows: int = MAX_TRAIN_ROWS, seed: int = 7, **how) -> list[Rule]:
     """Learn from labels (id, label: 0 rejects). Of more than max_train_rows labelled ids, those with the lowest seeded hash are used.
 
-    Null ids and null labels teach nothing; ids with both labels count once each way. Without usable labels there are no rules.
+    Null ids and null labels teach nothing; ids with both labels count once each way, and of rows that repeat an id the least text
+    teaches. Texts are read whole. Without usable labels, or from an empty table, there are no rules. Extra columns are not read.
     """
-    picked = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label) == 0).alias("reject")).distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id", "reject").limit(max_train_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")  # at most max_train_rows ids
+    picked = labels.where(col(id_col).isNotNull() & col(label).isNotNull()).select(col(id_col).alias("id"), (col(label) == 0).alias("reject")).distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id", "reject").limit(max_train_rows)
+    rows = docs.select(col(id_col).alias("id"), col(text).alias("text")).join(F.broadcast(picked), "id")  # at most max_train_rows ids
+    rows = rows.groupBy("id", "reject").agg(F.min("text").alias("text"))
     table = with_stats(rows, "text", "").select("id", "reject", *STATS).toPandas().sort_values(["id", "reject", "n_chars"], kind="stable").reset_index(drop=True)
     return learn_decision_list(table[list(STATS)], table["reject"].to_numpy(bool), seed=seed, **how) if len(table) else []
 
@@ -170,16 +172,24 @@ def decision(rules: list[Rule], prefix: str = "") -> Column:
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """docs that no rule rejects, with all their columns and no others. A null text counts as an empty one and stands before the rules as any other."""
+    """docs that no rule rejects, with all their columns and no others. A null text counts as an empty one and stands before the rules as any other.
+
+    Texts of any length are read whole, repeated rows are each kept or rejected, an empty table stays empty, columns may have any names.
+    """
     if not rules:
         return docs
     prefix = fresh(docs, "stat_")
     while any(c.lower().startswith(prefix.lower()) for c in docs.columns):
         prefix = "_" + prefix
-    return with_stats(docs, text, prefix).where(decision(rules, prefix) == 0).select(*docs.columns)
+    return with_stats(docs, text, prefix).where(decision(rules, prefix) == 0).select(*cols(docs))
 
 
 def kept_documents(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, and the statistics) of each row that is kept; repeated rows and null ids are kept or rejected like others."""
-    stats = with_stats(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", "")
-    return stats.where(decision(rules) == 0).select("doc_id", *[F.col(c).cast("double").alias(c) for c in STATS])
+    """(doc_id, and the statistics) of each row that is kept; repeated rows and null ids are kept or rejected like others.
+
+    A null text counts as an empty one, texts of any length are read whole, an empty table gives an empty result. Extra columns are not read.
+    """
+    stats = with_stats(docs.select(col(id_col).alias("doc_id"), col(text).alias("text")), "text", "")
+    # a filter isn't pushed below a column that is not deterministic: the statistics are computed once, not for the filter and the result
+    once = stats.withColumn("_row", F.monotonically_increasing_id())
+    return once.where((decision(rules) == 0) & (F.col("_row") >= 0)).select("doc_id", *[F.col(c).cast("double").alias(c) for c in STATS])

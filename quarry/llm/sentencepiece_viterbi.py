@@ -19,7 +19,8 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from quarry.llm.shared import col, slices, type_of
 
 SPACE = "▁"
 MODEL = os.environ.get("QUARRY_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -318,16 +319,15 @@ def _encode(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 500):
-                part = texts[i : i + 500]
+            for own in slices(b, 1):
+                part = own.column(1).to_pylist()
                 ids = [e.encode(t) for t in part]
                 size = np.array([0 if x is None else len(x) for x in ids], np.int32)
                 flat = np.fromiter((k for x in ids if x for k in x), np.int32, int(size.sum()))
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 null = np.array([x is None for x in ids])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(null))
-                columns = [b.column(0).slice(i, len(part)), lists, pa.array([None if x is None else len(x) for x in ids], pa.int32())]
+                columns = [own.column(0), lists, pa.array([None if x is None else len(x) for x in ids], pa.int32())]
                 if check:
                     decoded = [decode_ids(e.m, x) for x in ids]
                     columns.append(pa.array(decoded, pa.string()))
@@ -341,9 +341,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """(doc_id, ids, n_ids) of every row, the ids that the model's merges give its whole text.
 
     A null text has null ids and null n_ids, an empty one no ids and n_ids 0. Repeated rows are encoded each; null ids of
-    documents stay null. An empty table gives an empty result. Extra columns are not read.
+    documents stay null, ids keep their type. Texts of any length are read whole. An empty table gives an empty result. Extra columns are not read.
     """
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(model, False), "doc_id bigint, ids array<int>, n_ids int")
+    return docs.select(col(id_col).alias("doc_id"), col(text).alias("text")).mapInArrow(_encode(model, False), f"doc_id {type_of(docs, id_col)}, ids array<int>, n_ids int")
 
 
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
@@ -351,7 +351,7 @@ def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     U+2581 comes back as a space, which counts as its own. A null text has nulls.
     """
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(model, True), "doc_id bigint, ids array<int>, n_ids int, decoded string, round_trip boolean")
+    return docs.select(col(id_col).alias("doc_id"), col(text).alias("text")).mapInArrow(_encode(model, True), f"doc_id {type_of(docs, id_col)}, ids array<int>, n_ids int, decoded string, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -362,4 +362,4 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_ids(m, x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select(col(id_col).alias("doc_id"), col(ids).alias("ids")).mapInArrow(run, f"doc_id {type_of(encoded, id_col)}, text string")

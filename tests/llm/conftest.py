@@ -1,11 +1,11 @@
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, rep int, words int, keep string, group_id int, key string, mix_len int, stat_n_chars int, shard string, `order` int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, rep int, words int, keep string, group_id int, key string, mix_len int, stat_n_chars int, shard string, `order` int, `a.b` int"
 
 
 def make(spark, rows):
     """A table of documents (id, text, source) with extra columns whose names clash with the operators' own."""
-    full = [(i, t, "en", s, len(t) if t is not None else None, "x", 1, 2, "k", 3, "y", 4, 5, "z", 6) for i, t, s in rows]
+    full = [(i, t, "en", s, len(t) if t is not None else None, "x", 1, 2, "k", 3, "y", 4, 5, "z", 6, 7) for i, t, s in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 
