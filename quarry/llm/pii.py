@@ -287,6 +287,12 @@ def example(rng: np.random.Generator, words: tuple[str, ...]) -> tuple[str, int,
     if kind == "EMAIL":
         user = word() + pick("", ".", "_", "+") + pick("", word(), digit(2))
         s = f"{user.strip('._+') or 'a'}@{word()}{pick('', digit(1), '-' + word())}.{pick('com', 'org', 'net', 'de', 'fr', 'es', 'io', 'example.com', 'co.uk')}" if right else pick(f"{word()}@{word()}", f"{word()}@{digit(3)}", f"{word()}@v{digit(1)}.{digit(2)}", f"{word()}@{word()}.{digit(1)}", f"@{word()}@{word()}")
+    elif kind == "PHONE" and rng.random() < 0.25:
+        # pairs of digits, as French numbers are written, and bare digits, which only a cue makes a number to call
+        pairs, between = [digit(2) for _ in range(4)], pick(" ", ".", "-", "\u00a0", "\u202f")
+        if rng.random() < 0.4:
+            return _embedded(rng, words, pick("0" + digit(9), digit(10)), kind, right, cue if right else (wrong_cue, ""), 1.0)
+        s = between.join([(f"0{rng.integers(1, 10)}" if right else f"{rng.integers(1, 10)}{digit(1)}"), *pairs])
     elif kind == "PHONE":
         s = pick(f"+{digit(1)} ({digit(3)}) {digit(3)}-{digit(4)}", f"({digit(3)}) {digit(3)}-{digit(4)}", f"+{digit(2)} {digit(3)} {digit(7)}", f"{digit(3)}-{digit(3)}-{digit(4)}", f"00{digit(2)} {digit(2)} {digit(8)}", f"+{digit(2)}{digit(10)}", f"0{digit(2)} {digit(4)} {digit(4)}", f"0{digit(2)} {digit(7)}", f"{digit(3)}.{digit(3)}.{digit(4)}") if right else pick(digit(8), digit(9), digit(11), f"20{digit(2)}-0{digit(1)}-1{digit(1)} 1{digit(1)}", f"1{digit(1)}.0{digit(1)}.20{digit(2)}", f"{digit(1)}.{digit(1)}.{digit(2)}.{digit(4)}", f"{digit(4)} {digit(4)}", f"{digit(2)} {digit(2)} {digit(2)} {digit(2)}", ".".join(str(int(rng.integers(1, 256))) for _ in range(4)), digit(15))
     elif kind == "IP":
