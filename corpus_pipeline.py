@@ -1,4 +1,8 @@
-"""From raw documents to token ids, stage by stage; each stage works on all that the one before it kept."""
+"""From raw documents to token ids, stage by stage; each stage works on all that the one before it kept.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns have in each stage the result that the docstring of
+its operator in quarry.llm states; texts are read whole, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
