@@ -1,14 +1,16 @@
 """Near duplicates by 128-bit SimHash and BK-trees.
 
-A document's signature is the sign of the sum, over its distinct words, of the words' hash bits. Distinct signatures are
-put into shards: a shard holds the signatures that agree on k sampled bits, and there are several samplings, so that a
-pair within the radius meets in one of them with the probability asked for. k grows with the logarithm of the number of
-signatures, so that the recall at the radius itself is the same at every size; up to SHARD of them there is one shard and the search is exact. In each shard a BK-tree (children keyed by
-their integer Hamming distance to the parent) is given all the shard's signatures as queries, which follow only edges
-within the radius. Found pairs are joined as they are found, so that a shard gives edges that span its parts, whose connected components are the groups.
-
-Sending every tree to every task would be work and memory that grow with the square of the corpus. A tree goes to the
-tasks that hold queries of its shard instead.
+A document's signature is the sign of the sum, over its distinct words, of the words' hash bits. The groups are the
+connected components of all pairs of signatures within the radius, at every size of the table. They are found in two searches.
+
+The first is fast and finds most links. Distinct signatures are put into shards: a shard holds the signatures that agree on k
+sampled bits, and there are several samplings. In each shard a BK-tree (children keyed by their integer Hamming distance to the
+parent) is given all the shard's signatures as queries, which follow only edges within the radius. Found pairs are joined as they
+are found, so that a shard gives edges that span its parts. A tree goes to the tasks that hold queries of its shard.
+
+The second, the sweep, leaves nothing out: it looks at all pairs of signatures that the first didn't connect. Of two signatures
+within the radius one half of 64 bits differs in at most half the radius, and one of that half's parts in one or two bits; so the
+sweep compares signatures whose keys in a part differ in no more. It goes through pairs of blocks of signatures, a task holding two blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ LEAF = 128  #: a BK node with no more signatures below it is compared as one blo
 GROUP = 100_000  #: rows that one call of the search gets, about
 WORDS = 50_000  #: words whose hash bits are held at a time
 BLOCK = 20_000  #: queries that are compared with a leaf at a time
+SWEEP = 1 << 19  #: signatures in a block of the sweep, about
+PARTS = (12, 12, 12, 14, 14)  #: bits of the parts of a half
+ROWS, COLUMNS = 256, 1024  #: signatures that the sweep compares at a time
+TASKS = 24  #: the sweep's parts go to tasks of their own if there are fewer pairs of blocks
 STARS, STARS_FROM = 32, 2048  #: pivots that gather a shard's signatures first, and the size of a shard from which that pays
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -97,7 +103,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def plan(n: int, recall: float = 0.9, at: int = RADIUS) -> tuple[int, int]:
-    """(bits sampled, samplings) so that a pair at distance ``at`` meets with probability ``recall`` among n signatures; a nearer pair with a higher one."""
+    """(bits sampled, samplings) of the first search: a pair at distance ``at`` meets with probability ``recall`` among n signatures, a nearer pair with a higher one."""
     k = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
     meet = (1 - at / BITS) ** k
     return k, 1 if k == 0 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
@@ -256,6 +262,112 @@ def _search(radius: int, id_type: pa.DataType):
     return run
 
 
+def pieces(radius: int) -> list[tuple[int, int, int, int]]:
+    """(half, shift, bits, slack): two signatures within the radius differ, in some half by at most radius // 2 bits and in some part of that half by at most slack."""
+    least, more = divmod(radius // 2 + 1, len(PARTS))  # the slacks, each with one added, sum to radius // 2 + 1
+    slack = [least - 1 + (n >= len(PARTS) - more) for n in range(len(PARTS))]
+    return [(half, sum(PARTS[:n]), PARTS[n], slack[n]) for half in (0, 1) for n in range(len(PARTS)) if slack[n] >= 0]
+
+
+def _across(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, piece: tuple[int, int, int, int], radius: int, unions: Unions) -> None:
+    """Connect the labels la and lb of all pairs of signatures of a and b within the radius whose keys in the piece differ in at most its slack; if b is a, of all pairs in it.
+
+    Signatures whose labels are connected are not compared if many of them are together.
+    """
+    half, shift, bits, slack = piece
+    masks = np.arange(2**bits)
+    masks = masks[np.bitwise_count(masks) <= slack]
+
+    def placed(sig: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
+        key = ((sig[:, half] >> np.uint64(shift)) & np.uint64(2**bits - 1)).astype(np.int64)
+        label = unions.tops(label)
+        order = np.lexsort((label, key))
+        sig = sig[order]
+        return sig, sig[:, half].copy(), label[order], np.searchsorted(key[order], np.arange(2**bits + 1))
+
+    same = b is a
+    a, ha, la, ca = placed(a, la)
+    b, hb, lb, cb = (a, ha, la, ca) if same else placed(b, lb)
+    found = 0
+    for key in np.flatnonzero(np.diff(ca)):
+        near = key ^ masks
+        if same:
+            near = near[near >= key]
+        count = cb[near + 1] - cb[near]
+        cols = np.repeat(cb[near] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        for i in range(ca[key], ca[key + 1], ROWS):
+            own = slice(i, min(i + ROWS, ca[key + 1]))
+            one = la[own]
+            others = cols if (one != one[0]).any() else cols[lb[cols] != one[0]]
+            for j in range(0, len(others), COLUMNS):
+                c = others[j : j + COLUMNS]
+                at = np.flatnonzero(np.bitwise_count(ha[own, None] ^ hb[c]) <= radius // 2)
+                if not len(at):
+                    continue
+                x, y = i + at // len(c), c[at % len(c)]
+                new = la[x] != lb[y]
+                x, y = x[new], y[new]
+                new = hamming(a[x], b[y]) <= radius
+                unions.join(la[x[new]], lb[y[new]])
+                found += len(at)
+            if found > len(la):
+                la = unions.tops(la)
+                lb = la if same else unions.tops(lb)
+                found = 0
+
+
+def _blocks(blocks: int, split: int):
+    """Each signature once for each pair of blocks that its own is in, and that for each of split shares of the pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root, s0, s1 = batch.columns
+            mixed = (s0.to_numpy().view(np.uint64) ^ (s1.to_numpy().view(np.uint64) * _M1)) * _M2
+            own = ((mixed >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+            for other in range(blocks):
+                pair = np.minimum(own, other) * blocks + np.maximum(own, other)
+                for share in range(split):
+                    yield pa.RecordBatch.from_arrays([pa.array(pair * split + share), pa.array(own > other), root, s0, s1], names=["g", "second", "root", "s0", "s1"])
+
+    return run
+
+
+def _codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each value, the same for equal ones, and of each number a place that has it. Nested values, which Arrow doesn't number, go by their text."""
+    flat = pa.array([repr(v) for v in values.to_pylist()]) if pa.types.is_nested(values.type) else values
+    code = flat.dictionary_encode().indices.to_numpy().astype(np.int64)
+    return code, np.unique(code, return_index=True)[1]
+
+
+def _sweep(radius: int, blocks: int, split: int, id_type: pa.DataType):
+    def run(t: pa.Table) -> pa.Table:
+        g = t.column("g")[0].as_py()
+        low, high = divmod(g // split, blocks)
+        roots = t.column("root").combine_chunks()
+        label, first = _codes(roots)
+        unions = Unions(len(first))
+        sig = np.stack([t.column("s0").to_numpy(), t.column("s1").to_numpy()], axis=1).view(np.uint64)
+        second = t.column("second").to_numpy()
+        a, la = sig[~second], label[~second]
+        b, lb = (a, la) if low == high else (sig[second], label[second])
+        for piece in pieces(radius)[g % split :: split]:
+            _across(a, la, b, lb, piece, radius, unions)
+        top = unions.tops(np.arange(len(first)))
+        own = np.flatnonzero(top != np.arange(len(top)))
+        return pa.table({"a": roots.take(pa.array(first[top[own]])), "b": roots.take(pa.array(first[own]))}, schema=pa.schema([("a", id_type), ("b", id_type)]))
+
+    return run
+
+
+def sweep(labelled: DataFrame, n: int, radius: int) -> DataFrame:
+    """Edges (a, b) of roots that connect whatever the n signatures of labelled (root, s0, s1) within the radius connect and their roots don't yet."""
+    kind = type_of(labelled, "root")
+    blocks = max(1, math.ceil(n / SWEEP))
+    split = max(1, min(len(pieces(radius)), math.ceil(TASKS / (blocks * (blocks + 1) // 2))))
+    pairs = labelled.select("root", "s0", "s1").mapInArrow(_blocks(blocks, split), f"g bigint, second boolean, root {kind}, s0 bigint, s1 bigint")
+    return pairs.groupBy("g").applyInArrow(_sweep(radius, blocks, split, to_arrow_type(labelled.schema["root"].dataType)), f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the lowest vertex that edges (a, b) connect v with. Lowest neighbours and jumps over them, in written rounds."""
     one = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
@@ -278,7 +390,8 @@ def near_duplicate_members(docs: DataFrame, id_col: str = "doc_id", text: str =
     """(doc_id, group_id) of each document in a group of at least two; group_id is the group's lowest doc_id.
 
     Two documents are near duplicates if their signatures differ in at most ``radius`` of 128 bits; groups are the
-    connected components. Null texts and texts without a word have no signature and are in no group; rows with a null
+    connected components of all such pairs, at every size. ``recall`` is what the first search is planned for; as the sweep
+    finds the rest, the result doesn't depend on it. Null texts and texts without a word have no signature and are in no group; rows with a null
     id are in none either, as nothing can name them. Rows that repeat an id are one document. Texts of any length are read
     whole, in pieces of bounded memory. Ids may be of any type that orders. An empty table gives an empty
     result. Extra columns are not read, whatever their names.
@@ -294,7 +407,11 @@ def near_duplicate_members(docs: DataFrame, id_col: str = "doc_id", text: str =
     shards = unique.select("rep", "s0", "s1").mapInArrow(_shards(k, tables, groups), f"g int, key bigint, rep {kind}, s0 bigint, s1 bigint")
     edges = shards.groupBy("g").applyInArrow(_search(radius, id_type), f"a {kind}, b {kind}")
     root = components(edges.union(signed.join(unique, ["s0", "s1"]).where("doc_id <> rep").select("rep", "doc_id")))
-    return root.select(F.col("v").alias("doc_id"), F.col("root").alias("group_id"))
+    labelled = unique.join(root, F.col("rep") == F.col("v"), "left").select(F.coalesce("root", "rep").alias("root"), "s0", "s1")
+    moved = components(sweep(labelled, n, radius)).select(F.col("v").alias("was"), F.col("root").alias("now"))
+    kept = root.join(moved, F.col("root") == F.col("was"), "left").select("v", F.coalesce("now", "root").alias("root"))
+    joined = moved.join(root, F.col("was") == F.col("v"), "left_anti").select(F.col("was").alias("v"), F.col("now").alias("root"))
+    return kept.union(joined).select(F.col("v").alias("doc_id"), F.col("root").alias("group_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, recall: float = 0.9) -> DataFrame:

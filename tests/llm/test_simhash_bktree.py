@@ -120,3 +120,64 @@ def test_string_ids_and_dotted_names(spark):
 
 def test_empty(empty):
     assert m.near_duplicates(empty).count() == 0 and m.drop_near_duplicates(empty).count() == 0
+
+
+def far_copies(n=1500, seed=11):
+    """Texts and copies of each with 6 to 18 % of the words replaced: many pairs are close to the radius."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    texts = [rng.choices(words, k=rng.randint(60, 120)) for _ in range(n)]
+    for t in texts[:n]:
+        share = rng.uniform(0.06, 0.18)
+        texts.append([rng.choice(words) if rng.random() < share else w for w in t])
+    return [" ".join(t) for t in texts]
+
+
+def brute_groups(texts):
+    """Text to the lowest of its group, for texts in groups."""
+    s, _ = m.signatures(texts)
+    u = s.view(np.uint64)
+    unions = m.Unions(len(u))
+    for i in range(0, len(u), 500):
+        a, b = np.nonzero(m.hamming(u[i : i + 500, None], u[None]) <= m.RADIUS)
+        unions.join(a + i, b)
+    top = unions.tops(np.arange(len(u)))
+    return {i: t for i, t in enumerate(top.tolist()) if np.count_nonzero(top == t) > 1}
+
+
+def test_no_link_is_lost_whatever_the_plan(docs, monkeypatch):
+    texts = far_copies()
+    want = brute_groups(texts)
+    assert len(want) > 1500
+    df = docs([(i, t, "a") for i, t in enumerate(texts)])
+    for shard, block in ((m.SHARD, m.SWEEP), (16, 800), (10**9, m.SWEEP)):
+        monkeypatch.setattr(m, "SHARD", shard)
+        monkeypatch.setattr(m, "SWEEP", block)
+        assert {r["doc_id"]: r["group_id"] for r in m.near_duplicate_members(df).collect()} == want, (shard, block)
+
+
+def test_the_sweep_finds_what_brute_force_finds():
+    rng = np.random.default_rng(7)
+    for radius in (0, 1, 4, 22, 23, 40):
+        a = rng.integers(0, 2**63, (300, 2)).astype(np.uint64)
+        b = a.copy()
+        for i in range(len(b)):  # a little within and a little beyond the radius, spread over all bits
+            for bit in rng.choice(128, min(radius + i % 3, 128), replace=False).tolist():
+                b[i, bit // 64] ^= np.uint64(1 << bit % 64)
+        want = m.Unions(600)
+        x, y = np.nonzero(m.hamming(a[:, None], b[None]) <= radius)
+        want.join(x, 300 + y)
+        got = m.Unions(600)
+        for piece in m.pieces(radius):
+            m._across(a, np.arange(300), b, np.arange(300, 600), piece, radius, got)
+        assert (got.tops(np.arange(600)) == want.tops(np.arange(600))).all(), radius
+
+
+def test_links_of_the_sweep_with_nested_ids(spark, monkeypatch):
+    monkeypatch.setattr(m, "SHARD", 16)
+    rows = [((i % 7, str(i)), t) for i, t in corpus(60)]
+    df = spark.createDataFrame(rows, "doc_id struct<a int, b string>, text string")
+    got = {tuple(r["doc_id"]): tuple(r["group_id"]) for r in m.near_duplicate_members(df).collect()}
+    ids = [i for i, _ in rows]
+    top = brute_groups([t for _, t in rows])
+    assert got == {ids[i]: min(ids[j] for j in top if top[j] == t) for i, t in top.items()}
