@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,18 @@ def test_near_and_exact_stages_remove_all_copies(spark):
     assert out.count() == out.select("text").distinct().count()
     assert simhash_bktree.near_duplicates(out).count() == 0 and exact_dedup.exact_duplicates(out).count() == 0
     assert out.where(F.col("doc_id").isNull()).count() == 0
+
+
+def test_near_stage_leaves_out_no_link_of_a_larger_table(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    sig, has = simhash_bktree.signatures([t for _, t in rows])
+    u, unions = sig.view("uint64"), simhash_bktree.Unions(len(rows))
+    for i in range(0, len(rows), 500):
+        near = simhash_bktree.hamming(u[i : i + 500, None], u[None]) <= simhash_bktree.RADIUS
+        a, b = np.nonzero(near & has[i : i + 500, None] & has)
+        unions.join(a + i, b)
+    top = unions.tops(np.arange(len(rows)))
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, sf).select("doc_id").collect()}
+    assert kept == {d for i, (d, _) in enumerate(rows) if top[i] == i}
