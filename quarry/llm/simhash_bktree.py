@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.shared import col, cols, drop_table, join_checked, slices, type_of, written
+from quarry.llm.shared import col, cols, drop_table, fresh, join_checked, slices, type_of, written
 
 BITS = 128
 RADIUS = 23
@@ -426,3 +426,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     """
     drop = written(near_duplicates(docs, id_col, text, radius, recall).select(F.col("doc_id").alias(id_col)), "drop")
     return join_checked(docs, drop, [id_col], "left_anti", 40).select(*cols(docs))
+
+
+def drop_near_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, recall: float = 0.9) -> DataFrame:
+    """docs with one row of each group of near duplicates, where each row is a document of its own, whatever its id.
+
+    So rows with a null id are compared too, rows that repeat an id stand for themselves, and no id connects texts that aren't near. The row with the
+    lowest id stays; null ids count as the highest, and of rows that repeat the lowest id one stays. Rows with a null text or without a word
+    stay. All columns are kept, whatever their names; ids may be of any type that orders. Rest as in :func:`near_duplicate_members`.
+    """
+    row = fresh(docs, "row")
+    # a number for each row, fixed by writing it
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    members = written(near_duplicate_members(rows, row, text, radius, recall).withColumnRenamed("doc_id", row), "members")
+    placed = join_checked(rows.select(row, col(id_col).isNull().alias("no"), col(id_col).alias("id")), members, [row], "inner", 40)
+    first = placed.groupBy("group_id").agg(F.min(F.struct("no", "id", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    drop = written(members.join(first, row, "left_anti").select(row), "drop")
+    return join_checked(rows, drop, [row], "left_anti", 40).select(*cols(docs))

@@ -105,3 +105,17 @@ def test_near_stage_leaves_out_no_link_of_a_larger_table(spark):
     top = unions.tops(np.arange(len(rows)))
     kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, sf).select("doc_id").collect()}
     assert kept == {d for i, (d, _) in enumerate(rows) if top[i] == i}
+
+
+def test_near_stage_leaves_out_no_row_whatever_its_id(spark, docs):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(100)) for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [
+        (1, a), (None, a + " more"), (None, b), (None, b + " more"),  # null ids: near to a row with an id, and to each other
+        (5, c), (5, c + " more"), (5, d), (9, d + " more"),  # an id with two near texts and a far one
+        (None, None), (None, "lone text of a null id"), (7, None), (8, ""),
+    ]
+    out = corpus_pipeline.near(spark, docs([(i, t, "a") for i, t in rows]), SF)
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    one = lambda i, texts: [k for k in kept if k[0] == i and k[1] in texts]
+    assert (1, a) in kept and len(one(None, (b, b + " more"))) == 1 and len(one(5, (c, c + " more"))) == 1 and (5, d) in kept
+    assert set(rows[8:]) <= set(kept) and len(kept) == 8
