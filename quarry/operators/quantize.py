@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.errors import EngineError
 from quarry.functions import vector
-from quarry.operators import kmeans
+from quarry.operators import kmeans, scan
 from quarry.operators.knn import SCALE, knn, matrix, rank
 
 
@@ -61,8 +61,11 @@ class ProductQuantizer:
         parts = self.split(q)
         return np.stack([vector.pairwise(parts[:, s], self.codebooks[s], "l2") for s in range(len(self.codebooks))], axis=1)
 
-    def encode(self, df: DataFrame, id_col: str = "id", vec: str = "vector") -> DataFrame:
-        """(id, codes)."""
+    def encode(self, df: DataFrame, id_col: str = "id", vec: str = "vector", keep: bool = False) -> DataFrame:
+        """(id, codes), and the vector if it is to be kept."""
+        if keep:
+            kind = dict(df.dtypes)[vec]
+            return _map(_rows(df, id_col, vec), lambda p: p.assign(codes=list(self.codes(matrix(p["vector"]))))[["id", "codes", "vector"]], f"id bigint, codes array<smallint>, vector {kind}")
         return _map(_rows(df, id_col, vec), lambda p: pd.DataFrame({"id": p["id"], "codes": list(self.codes(matrix(p["vector"])))}), "id bigint, codes array<smallint>")
 
     def decode(self, codes: DataFrame) -> DataFrame:
@@ -75,21 +78,18 @@ class ProductQuantizer:
         return own.agg(F.round(F.avg("e"), SCALE).alias("mse"))
 
     def search(self, queries: DataFrame, codes: DataFrame, k: int = 10) -> DataFrame:
-        """(qid, id, score, rank) by asymmetric distance: table lookups of codes, for queries (qid, vector) sent as tables."""
-        q = queries.select(F.col("qid").cast("bigint").alias("qid"), "vector").toPandas()
-        sent = codes.sparkSession.sparkContext.broadcast((q["qid"].to_numpy(np.int64), self.tables(matrix(q["vector"]))))
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            from quarry.operators.knn import top_rows
+        """(qid, id, score, rank) by asymmetric distance: of queries (qid, vector) as they are to what codes stand for."""
+        return rank(scan.top(queries.select(F.col("qid").cast("bigint").alias("qid"), "vector"), codes.select("id", "codes"), scan.Vectors("l2"), k, view=self._seen), k)
 
-            qid, tables = sent.value
-            c = np.stack(pdf["codes"].to_numpy()).astype(np.int64)
-            s = sum(tables[:, j, :][:, c[:, j]] for j in range(c.shape[1]))
-            ids = pdf["id"].to_numpy()
-            r, at = top_rows(s, ids, k)
-            return pd.DataFrame({"qid": qid[r], "id": ids[at], "score": np.round(s[r, at], SCALE)})
+    def _seen(self, block: dict, asks: bool) -> dict:
+        """What the scan compares: a code's distance to a query is that of the vector it stands for."""
+        return {"key": block["vector"] if asks else self.reconstruct(block["codes"])}
 
-        return rank(_map(codes.select("id", "codes"), run, "qid bigint, id bigint, score double"), k)
+    def search_reranked(self, queries: DataFrame, rows: DataFrame, pool: int, k: int) -> DataFrame:
+        """(qid, id, score, rank): of the pool nearest by codes the k truly nearest; rows: (id, codes, vector)."""
+        view = lambda block, asks: self._seen(block, asks) | {"raw": block["vector"]}
+        asked = queries.select(F.col("qid").cast("bigint").alias("qid"), "vector")
+        return rank(scan.top(asked, rows.select("id", "codes", "vector"), scan.Vectors("l2"), pool, view=view, stages=((scan.Vectors("l2"), scan.same, "raw", k),)), k)
 
     def symmetric(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((self.reconstruct(a) - self.reconstruct(b)) ** 2).sum(axis=1)
@@ -229,8 +229,7 @@ def train_binary(df: DataFrame, rotate: bool = False, seed: int = 42, vec: str =
 
 def hamming_search(queries: DataFrame, codes: DataFrame, k: int = 10) -> DataFrame:
     """(qid, id, score, rank) of codes (id, code) for queries (qid, code)."""
-    pairs = codes.select("id", "code").crossJoin(queries.select("qid", F.col("code").alias("qcode")))
-    return rank(pairs.select("qid", "id", vector.hamming(F.col("code"), F.col("qcode")).cast("double").alias("score")), k)
+    return rank(scan.top(queries.select("qid", "code"), codes.select("id", "code"), scan.Bits(), k, key="code"), k)
 
 
 # rotational bytes
@@ -412,6 +411,8 @@ def truncate(v: Column, dim: int, renormalize: bool = True) -> Column:
 
 def progressive_search(queries: DataFrame, base: DataFrame, dims: tuple[int, ...], k: int = 10, factor: int = 10, normalized: bool = True, id_col: str = "id", vec: str = "vector") -> DataFrame:
     """(qid, id, score, rank): each prefix length keeps factor * k of what the one before kept; the full vectors rank these."""
+    if min(dims, default=0) > 0:
+        return _progressive(queries, base, dims, k, factor, normalized, id_col, vec)
     x = base.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).alias("v"))
     own = x.crossJoin(queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("vector").alias("q")))
     for d in dims:
@@ -420,6 +421,17 @@ def progressive_search(queries: DataFrame, base: DataFrame, dims: tuple[int, ...
     return rank(own.select("qid", "id", F.round(full, SCALE).alias("score")), k)
 
 
+def _progressive(queries: DataFrame, base: DataFrame, dims: tuple[int, ...], k: int, factor: int, normalized: bool, id_col: str, vec: str) -> DataFrame:
+    score = lambda: scan.Vectors("cosine", 1.0) if normalized else scan.Vectors("root")
+    prefix = lambda d: lambda x: x[:, :d]
+    first = prefix(dims[0])
+    stages = tuple((score(), prefix(d), "raw", factor * k) for d in dims[1:]) + ((score(), scan.same, "raw", k),)
+    view = lambda block, asks: {"key": first(block["vector"]), "raw": block["vector"]}
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), "vector")
+    rows = base.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).alias("vector")).where("vector is not null")
+    return rank(scan.top(asked, rows, score(), factor * k, view=view, stages=stages), k)
+
+
 def measured_recall(queries: DataFrame, base: DataFrame, dims: tuple[int, ...], k: int = 10) -> DataFrame:
     """(dim, recall) of searching each prefix alone against the full vectors (queries: qid, vector; base: id, vector)."""
     from quarry.operators.metrics import recall_at_k
