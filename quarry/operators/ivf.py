@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quarry.errors import EngineError
 from quarry.functions import vector
 from quarry.functions.text import valid_json
-from quarry.operators import kmeans
+from quarry.operators import kmeans, scan
 from quarry.operators.knn import SCALE, matrix, rank, top_rows
 from quarry.operators.quantize import ProductQuantizer, pq_from, sample_matrix, train_opq
 
@@ -95,22 +95,14 @@ class IvfPq:
         if deleted is not None:
             lists = lists.join(deleted.select("id"), "id", "left_anti")
         depth = max(k, pool) if raw is not None else k
-        probes = self.probe(queries, nprobe).select("qid", "cell").join(queries.select(F.col("qid").cast("bigint").alias("qid"), "vector"), "qid")
-        c, pq = self.centroids, self.pq
-
-        def scan(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(rows):
-                return pd.DataFrame({"qid": [], "id": [], "score": []}).astype({"qid": "int64", "id": "int64", "score": "float64"})
-            tables = pq.tables(matrix(q["vector"]) - c[int(q["cell"].iloc[0])])
-            codes = np.stack(rows["codes"].to_numpy()).astype(np.int64)
-            s = sum(tables[:, j, :][:, codes[:, j]] for j in range(codes.shape[1]))
-            ids = rows["id"].to_numpy()
-            r, at = top_rows(s, ids, depth)
-            return pd.DataFrame({"qid": q["qid"].to_numpy()[r], "id": ids[at], "score": np.round(s[r, at], SCALE)})
-
-        hits = probes.groupBy("cell").cogroup(lists.groupBy("cell")).applyInPandas(scan, "qid bigint, id bigint, score double")
-        top = rank(hits, depth)
-        return top if raw is None else rerank(top, queries, raw, k)
+        c, pq, n = self.centroids, self.pq, min(nprobe, len(self.centroids))
+        asked, by_cell = queries.select(F.col("qid").cast("bigint").alias("qid"), "vector"), ["cell", "id", "codes"]
+        view = lambda block, asks: {"key": block["vector"] if asks else c[block["cell"]] + pq.reconstruct(block["codes"]), "cell": block.get("cell"), "raw": block.get("vector")}
+        cells = lambda x: near_cells(np.asarray(x, float), c, n)
+        if raw is None:
+            return rank(scan.top(asked, lists.select(by_cell).sortWithinPartitions("cell"), scan.Vectors("l2"), k, view=view, cells=cells), k)
+        rows = lists.select(by_cell).join(raw.select(F.col("id").cast("bigint").alias("id"), "vector"), "id", "left").sortWithinPartitions("cell")
+        return rank(scan.top(asked, rows, scan.Vectors("l2"), depth, view=view, cells=cells, stages=((scan.Vectors("l2"), scan.same, "raw", k),)), k)
 
     def reconstruct(self) -> DataFrame:
         """(id, cell, vector) of every entry, from centroid and codes."""
@@ -187,6 +179,22 @@ def train(df: DataFrame, nlist: int = 256, m: int = 8, bits: int = 8, opq: bool
     return IvfPq(c, pq_from(residual, m, bits, seed))
 
 
+def near_cells(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """Rows x cells: whether the cell is one of the n nearest."""
+    r, at = top_rows(vector.pairwise(x, centroids, "l2"), np.arange(len(centroids)), n)
+    out = np.zeros((len(x), len(centroids)), bool)
+    out[r, at] = True
+    return out
+
+
+def flat_search(queries: DataFrame, base: DataFrame, centroids: np.ndarray, k: int = 10, nprobe: int = 8) -> DataFrame:
+    """(qid, id, score, rank) by true distances (queries: qid, vector; base: id, vector) in the cells nearest to each query."""
+    c, n = centroids, min(nprobe, len(centroids))
+    view = lambda block, asks: {"key": block["vector"], "cell": None if asks else kmeans.nearest(np.asarray(block["vector"], float), c)[0]}
+    rows = base.select(F.col("id").cast("bigint").alias("id"), "vector").where("vector is not null")
+    return rank(scan.top(queries.select(F.col("qid").cast("bigint").alias("qid"), "vector"), rows, scan.Vectors("l2"), k, view=view, cells=lambda x: near_cells(np.asarray(x, float), c, n)), k)
+
+
 def rerank(hits: DataFrame, queries: DataFrame, raw: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(qid, id, score, rank): hits ordered by the true distance of their vectors (raw: id, vector)."""
     q = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("vector").alias("qvec"))
