@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import vector
-from quarry.operators import kmeans
+from quarry.operators import kmeans, scan
 from quarry.operators.knn import matrix, rank
-from quarry.operators.ivf import rerank
 from quarry.operators.quantize import _fit_codes, sample_matrix, train_scalar
 
 
@@ -65,12 +64,23 @@ class Cascade:
 
     def search(self, queries: DataFrame, k: int = 10, confidence: float = 0.95) -> DataFrame:
         """(qid, id, score, rank): scan of the probed clusters by byte codes, 10 k of them refined by their vectors."""
-        probes = self.probes(queries, confidence).select("qid", "cid")
         scalar = train_scalar(self.rows, margin=0.01)
+        lo, step, light = scalar.lo, scalar.step, replace(self, rows=None)
         coded = self.rows.withColumn("codes", scalar.encode(F.col("vector")))
-        q = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("vector").alias("qv"))
-        pairs = coded.join(probes, "cid").join(q, "qid").select("qid", "id", vector.l2_sq(scalar.decode(F.col("codes")), F.col("qv")).alias("score"))
-        return rerank(rank(pairs, 10 * k), queries, self.rows.select("id", "vector"), k)
+        asked = queries.select(F.col("qid").cast("bigint").alias("qid"), "vector")
+        view = lambda block, asks: {"key": block["vector"] if asks else block["codes"] * step + lo, "cell": block.get("cid"), "raw": block["vector"]}
+        cells = lambda x: light.probed(np.asarray(x, float), confidence)
+        return rank(scan.top(asked, coded.select("id", "cid", "vector", "codes"), scan.Vectors("l2"), 10 * k, view=view, cells=cells, stages=((scan.Vectors("l2"), scan.same, "raw", k),)), k)
+
+    def probed(self, q: np.ndarray, confidence: float) -> np.ndarray:
+        """Queries x clusters: whether :meth:`probes` names the cluster."""
+        out = np.zeros((len(q), len(self.centroids)), bool)
+        for i in range(0, len(q), 1024):
+            p = self.probabilities(q[i : i + 1024])
+            order = np.argsort(-p, axis=1, kind="stable")
+            own = np.take_along_axis(p, order, axis=1)
+            np.put_along_axis(out[i : i + 1024], order, (np.cumsum(own, axis=1) - own < confidence) & (own > 0), axis=1)
+        return out
 
 
 def build(df: DataFrame, clusters: int = 64, groups: int = 8, projections: int = 8, seed: int = 42, train_rows: int = 2000, id_col: str = "id", vec: str = "vector") -> Cascade:
@@ -97,9 +107,12 @@ def fit_probe_weights(q: np.ndarray, x: np.ndarray, c: np.ndarray, steps: int =
     """Weights of two scaled distances, by gradient steps on the cross entropy of the cluster of each query's nearest other row."""
     d = np.sqrt(vector.pairwise(q, c, "l2"))
     f = np.stack([d / np.maximum(d.mean(axis=1, keepdims=True), 1e-12), d - d.min(axis=1, keepdims=True)], axis=2)
-    near = vector.pairwise(q, x, "l2")
-    near[np.arange(len(q)), np.arange(len(q))] = np.inf
-    target = kmeans.nearest(x[near.argmin(axis=1)], c)[0]
+    closest = np.empty(len(q), np.int64)
+    for i in range(0, len(q), 64):  # bounds the matrix of distances
+        near = vector.pairwise(q[i : i + 64], x, "l2")
+        near[np.arange(len(near)), np.arange(i, i + len(near))] = np.inf
+        closest[i : i + 64] = near.argmin(axis=1)
+    target = kmeans.nearest(x[closest], c)[0]
     w = np.array([-1.0, -1.0])
     for _ in range(steps):
         z = f @ w

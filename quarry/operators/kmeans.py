@@ -29,8 +29,8 @@ class Clustering:
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, squared distance) of each row's nearest centroid, the lower index of equals."""
-    d = vector.pairwise(x, centroids, "l2")
-    c = d.argmin(axis=1)
+    step = max(1, 4_000_000 // max(1, len(centroids)))  # bounds the matrix of distances
+    c = np.concatenate([vector.pairwise(x[i : i + step], centroids, "l2").argmin(axis=1) for i in range(0, max(1, len(x)), step)])
     return c, np.einsum("ij,ij->i", x - centroids[c], x - centroids[c])
 
 

@@ -49,7 +49,7 @@ def test_bits_and_cells():
     assert list(zip(got["qid"], got["id"], got["score"])) == want
 
 
-QUADRATIC = ["knn_blocks", "distance_matrix_l2", "pairwise_cosine", "range_search_l2", "hamming_topk", "matryoshka_progressive", "pq_adc_topk", "ivf_flat_search", "ivf_rerank", "ivf_pq_search"]
+QUADRATIC = ["knn_blocks", "distance_matrix_l2", "pairwise_cosine", "range_search_l2", "hamming_topk", "matryoshka_progressive", "pq_adc_topk", "ivf_flat_search", "ivf_rerank", "ivf_pq_search", "cascade_search"]
 
 
 @pytest.mark.parametrize("name", QUADRATIC)
