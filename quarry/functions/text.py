@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -41,6 +42,28 @@ def tokens(text: Column, options: TokenOptions = TokenOptions()) -> Column:
     return out
 
 
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+class TokenCounter:
+    """Tokens of texts in UTF-8 and how often each is there, the same as :func:`tokens` for options that leave out empty tokens."""
+
+    def __init__(self, options: TokenOptions = TokenOptions()):
+        cut = _PUNCTUATION if options.remove_punctuation else b""
+        cased = (UPPER.encode(), LOWER.encode()) if options.lowercase else (b"", b"")
+        self.table = bytes.maketrans(cut + cased[0], b" " * len(cut) + cased[1])
+        self.least, self.most, self.cased = options.min_bytes, options.max_bytes, not options.lowercase
+        self.stop = frozenset(w.encode() for w in STOP_WORDS) if options.remove_stop_words else frozenset()
+
+    def __call__(self, text: bytes | None) -> Counter:
+        """bytes.split cuts at the six characters that Java's \\s has."""
+        found = Counter((text or b"").translate(self.table).split())
+        least, most, stop = self.least, self.most, self.stop
+        for w in [w for w in found if not least <= len(w) <= most or (w.lower() if self.cased else w) in stop]:
+            del found[w]
+        return found
+
+
 def tokens_sql(text: str) -> str:
     """The same with the default options, for DuckDB."""
     stop = ",".join(f"'{w}'" for w in STOP_WORDS)

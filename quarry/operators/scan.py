@@ -255,10 +255,16 @@ class Nearest:
         for i in range(0, len(r), REFINE):
             a, b = r[i : i + REFINE], c[i : i + REFINE]
             score = self.scorer.exact(self.q, a, x, b)
-            keep = np.isfinite(score) & ((score < self.score[a, -1]) | (score == self.score[a, -1]) & (ids[b] < self.id[a, -1]))
+            keep = self.near_enough(a, score, ids[b])
             a, b, score = a[keep], b[keep], score[keep]
-            self.waiting.append((a, score, ids[b], self.more(self.q, a, x, b) if self.more else np.empty((len(a), 0))))
-            self.size += len(a)
+            self.put(a, score, ids[b], self.more(self.q, a, x, b) if self.more else None)
+
+    def near_enough(self, r: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return np.isfinite(score) & ((score < self.score[r, -1]) | (score == self.score[r, -1]) & (ids < self.id[r, -1]))
+
+    def put(self, r: np.ndarray, score: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
+        self.waiting.append((r, score, ids, np.empty((len(r), 0)) if extra is None else extra))
+        self.size += len(r)
 
     def merge(self) -> None:
         if not self.size:
