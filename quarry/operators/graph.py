@@ -7,6 +7,7 @@ its own, in one task. The graph is a table (cell, id, vector, neighbours, entry)
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -28,15 +29,20 @@ def robust_prune(node: int, candidates: np.ndarray, x: np.ndarray, degree: int,
     d = ((x[c] - x[node]) ** 2).sum(axis=1)
     order = np.lexsort((c, d))
     c, d = c[order], d[order]
+    own = x[c]
+    sq = np.einsum("ij,ij->i", own, own)
+    between = (alpha * alpha) * np.maximum(sq[:, None] + sq[None] - 2 * (own @ own.T), 0) > d[None]  # row: a kept one, column: stays
     kept: list[int] = []
-    alive = np.ones(len(c), bool)
-    for i in range(len(c)):
-        if not alive[i]:
-            continue
+    alive, i = np.ones(len(c), bool), 0
+    while True:
+        i += int(alive[i:].argmax()) if i < len(c) else 0
+        if i >= len(c) or not alive[i]:
+            break
         kept.append(int(c[i]))
         if len(kept) == degree:
             break
-        alive &= alpha * alpha * ((x[c] - x[c[i]]) ** 2).sum(axis=1) > d
+        alive &= between[i]
+        i += 1
     return kept
 
 
@@ -69,9 +75,67 @@ def greedy(q: np.ndarray, x: np.ndarray, links: list[list[int]], entries: list[i
     return sorted((-a, -m) for a, m in best), visited
 
 
+def padded(links: list) -> np.ndarray:
+    """Links as a matrix, places without a link being len(links)."""
+    width = max((len(v) for v in links), default=0)
+    out = np.full((len(links), max(1, width)), len(links), np.int64)
+    for i, v in enumerate(links):
+        out[i, : len(v)] = v
+    return out
+
+
+def greedy_all(q: np.ndarray, x: np.ndarray, links: np.ndarray, entries: list[int], beam: int, at_once: int = 4, walked: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, nodes) of the beam nearest found for each query, sorted, inf and len(x) where there are fewer: as :func:`greedy`,
+    for all queries in step, each walking on from its at_once nearest nodes until none of its beam is left to walk from. walked: gets the (queries, nodes) walked from."""
+    n, m = len(x), len(q)
+    seen = np.zeros((m, n + 1), bool)
+    seen[:, n] = True
+    start = np.asarray(entries)
+    seen[:, start] = True
+    d = vector.pairwise(q, x[start], "l2")
+    order = np.argsort(d, axis=1, kind="stable")[:, :beam]
+    best = np.full((m, beam), np.inf)
+    node = np.full((m, beam), n)
+    best[:, : order.shape[1]], node[:, : order.shape[1]] = np.take_along_axis(d, order, axis=1), start[order]
+    todo = node < n
+    active = np.arange(m)
+    while len(active):
+        mine = todo[active]
+        turn = mine & (np.cumsum(mine, axis=1) <= at_once)
+        r, c = np.nonzero(turn)
+        todo[active[r], c] = False
+        if walked is not None:
+            walked.append((active[r], node[active[r], c]))
+        rows, to = np.repeat(active[r], links.shape[1]), links[node[active[r], c]].ravel()
+        new = ~seen[rows, to]
+        pair = np.unique(rows[new] * (n + 1) + to[new])
+        rows, to = np.divmod(pair, n + 1)
+        seen[rows, to] = True
+        diff = x[to] - q[rows]
+        dist = np.einsum("ij,ij->i", diff, diff)
+        near = dist < best[rows, -1]
+        rows, to, dist = rows[near], to[near], dist[near]
+        who, first, many = np.unique(rows, return_index=True, return_counts=True)
+        if len(who):
+            place = np.arange(len(rows)) - np.repeat(first, many)
+            wide = beam + int(many.max())
+            b, v, t = np.full((len(who), wide), np.inf), np.full((len(who), wide), n), np.zeros((len(who), wide), bool)
+            b[:, :beam], v[:, :beam], t[:, :beam] = best[who], node[who], todo[who]
+            k = np.repeat(np.arange(len(who)), many)
+            b[k, beam + place], v[k, beam + place], t[k, beam + place] = dist, to, True
+            order = np.argsort(b, axis=1, kind="stable")[:, :beam]
+            best[who], node[who], todo[who] = (np.take_along_axis(y, order, axis=1) for y in (b, v, t))
+        active = active[todo[active].any(axis=1)]
+    return best, node
+
+
 def build_graph(x: np.ndarray, degree: int = 64, alpha: float = 1.2, beam: int = 128, rounds: int = 2, seed: int = 1337) -> tuple[list[list[int]], list[int]]:
-    """(links, entries): a random regular graph, then rounds that search each node and prune what was visited, the last with alpha."""
+    """(links, entries): a random regular graph, then rounds that search each node and prune what was visited, the last with alpha.
+
+    Nodes are searched some at a time, in the graph as it was before them.
+    """
     n = len(x)
+    together = max(1, min(128, n // 20))
     rng = np.random.default_rng(seed)
     if n <= degree + 1:
         return [[j for j in range(n) if j != i] for i in range(n)], [0] if n else []
@@ -79,14 +143,23 @@ def build_graph(x: np.ndarray, degree: int = 64, alpha: float = 1.2, beam: int =
     start = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
     for r in range(rounds):
         a = alpha if r == rounds - 1 else 1.0
-        for i in rng.permutation(n):
-            _, visited = greedy(x[i], x, links, [start], beam)
-            links[i] = robust_prune(i, np.array(sorted(visited | set(links[i])), dtype=np.int64), x, degree, a)
-            for j in links[i]:
-                if i not in links[j]:
-                    links[j].append(int(i))
-                    if len(links[j]) > degree:
-                        links[j] = robust_prune(j, np.array(links[j]), x, degree, a)
+        order = rng.permutation(n)
+        for first in range(0, n, together):
+            own = order[first : first + together]
+            walked: list = []
+            greedy_all(x[own], x, padded(links), [start], beam, walked=walked)
+            rows, nodes = (np.concatenate(v) for v in zip(*walked))
+            by = np.argsort(rows, kind="stable")
+            for i, visited in zip(own.tolist(), np.split(nodes[by], np.cumsum(np.bincount(rows, minlength=len(own)))[:-1])):
+                links[i] = robust_prune(i, np.concatenate([visited, np.array(links[i], dtype=np.int64)]), x, degree, a)
+                for j in links[i]:
+                    if i not in links[j]:
+                        links[j].append(i)
+                        if len(links[j]) > degree + degree // 2:  # not at each link that is too many
+                            links[j] = robust_prune(j, np.array(links[j]), x, degree, a)
+        for j in range(n):
+            if len(links[j]) > degree:
+                links[j] = robust_prune(j, np.array(links[j]), x, degree, a)
     degrees = np.zeros(n, np.int64)
     for own in links:
         degrees[own] += 1
@@ -101,16 +174,15 @@ def hnsw_levels(n: int, m: int = 16, seed: int = 42) -> np.ndarray:
 
 
 def build_hnsw(x: np.ndarray, m: int = 16, ef: int = 200, seed: int = 42) -> tuple[list[list[int]], list[int]]:
-    """The base layer of a layered graph: nodes go in by falling level, are linked to the nearest found by beam from the node of
-    the top level and pruned for diversity; the nodes of level 1 and up are the entries."""
+    """The base layer of a layered graph: nodes go in by falling level, are linked to the ef nearest of those that are in, pruned for
+    diversity; the nodes of level 1 and up are the entries."""
     n = len(x)
     levels = hnsw_levels(n, m, seed)
     links: list[list[int]] = [[] for _ in range(n)]
     order = np.lexsort((np.arange(n), -levels))
     entry = [int(order[0])] if n else []
-    for i in order[1:].tolist():
-        near, _ = greedy(x[i], x, links, entry, ef)
-        links[i] = robust_prune(i, np.array([j for _, j in near]), x, m, 1.0)
+    for i, found in _earlier(x, order, ef):
+        links[i] = robust_prune(i, found, x, m, 1.0)
         for j in links[i]:
             links[j].append(i)
             if len(links[j]) > 2 * m:
@@ -119,6 +191,20 @@ def build_hnsw(x: np.ndarray, m: int = 16, ef: int = 200, seed: int = 42) -> tup
     return links, sorted({*entry, *upper[:64].tolist()})
 
 
+def _earlier(x: np.ndarray, order: np.ndarray, ef: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, the ef nearest nodes before it in order), in that order, by products of matrices."""
+    own = x[order].astype(np.float32)
+    sq = np.einsum("ij,ij->i", own, own)
+    for i in range(0, len(own), 256):
+        end = min(i + 256, len(own))
+        d = sq[None, :end] - 2 * (own[i:end] @ own[:end].T)
+        d[np.arange(end)[None] >= np.arange(i, end)[:, None]] = np.inf
+        near = np.argpartition(d, ef - 1, axis=1)[:, :ef] if end > ef else np.tile(np.arange(end), (end - i, 1))
+        for r in range(end - i):
+            if i + r:
+                yield int(order[i + r]), order[near[r][near[r] < i + r]]
+
+
 @dataclass
 class GraphIndex:
     """centroids route queries to partitions; nodes is the table of SCHEMA."""
@@ -151,11 +237,22 @@ class GraphIndex:
                 x, ids, ok = matrix(own["vector"]), own["id"].to_numpy(), own["ok"].to_numpy(bool)
                 links = [list(v) for v in own["neighbours"]]
                 entries = np.flatnonzero(own["entry"].to_numpy(bool)).tolist()
-                for qid, v in zip(q["qid"], q["vector"]):
-                    found, _ = greedy(np.asarray(v, float), x, links, entries, max(beam, k) if ok.all() else len(x))
-                    hits = sorted((round(d, SCALE), int(ids[j])) for d, j in found if ok[j])[:k]
-                    out += [(qid, i, d) for d, i in hits]
-            return pd.DataFrame(out, columns=["qid", "id", "score"]).astype({"qid": "int64", "id": "int64", "score": "float64"})
+                if not ok.all():
+                    for qid, v in zip(q["qid"], q["vector"]):
+                        found, _ = greedy(np.asarray(v, float), x, links, entries, len(x))
+                        hits = sorted((round(d, SCALE), int(ids[j])) for d, j in found if ok[j])[:k]
+                        out += [(qid, i, d) for d, i in hits]
+                    return pd.DataFrame(out, columns=["qid", "id", "score"]).astype({"qid": "int64", "id": "int64", "score": "float64"})
+                wide, qids, vectors = padded(links), q["qid"].to_numpy(), q["vector"].to_numpy()
+                step = max(1, min(512, 32_000_000 // (len(x) + 1)))
+                for i in range(0, len(q), step):
+                    d, at = greedy_all(np.stack(vectors[i : i + step]).astype(float), x, wide, entries, max(beam, k))
+                    d, id_ = np.round(d, SCALE), np.append(ids, np.iinfo(np.int64).max)[at]
+                    r = np.repeat(np.arange(len(d)), d.shape[1])
+                    order = np.lexsort((id_.ravel(), d.ravel(), r)).reshape(d.shape)[:, :k].ravel()
+                    order = order[np.isfinite(d.ravel()[order])]
+                    out.append(pd.DataFrame({"qid": qids[i + r[order]], "id": id_.ravel()[order], "score": d.ravel()[order]}))
+            return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "score": []}).astype({"qid": "int64", "id": "int64", "score": "float64"})
 
         asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("vector").cast("array<double>").alias("vector")).mapInPandas(probe, "qid bigint, cell int, vector array<double>")
         hits = asked.groupBy("cell").cogroup(nodes.groupBy("cell")).applyInPandas(scan, "qid bigint, id bigint, score double")
