@@ -62,7 +62,8 @@ def _sums(df: DataFrame, centroids: np.ndarray, vec: str) -> tuple[np.ndarray, n
                 count += np.bincount(c, minlength=k)
                 cost += np.bincount(c, d, minlength=k)
         own = np.flatnonzero(count)
-        yield pd.DataFrame({"cid": own.astype(np.int32), "s": list(total[own]), "n": count[own], "cost": cost[own]})
+        if len(own):  # an empty list of lists has no Arrow type
+            yield pd.DataFrame({"cid": own.astype(np.int32), "s": list(total[own]), "n": count[own], "cost": cost[own]})
 
     parts = df.select(F.col(vec).alias("vector")).mapInPandas(run, "cid int, s array<double>, n double, cost double")
     each = parts.select("cid", "n", "cost", F.posexplode("s").alias("pos", "v"))
